@@ -18,51 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.llm.common import Workspace, only, slices
+from crawlframe.llm.words import byte_word_hashes
 
 WINDOW = 10
 SHARD = 2 << 20
 #: Text of the tests that is broadcast at once; larger tests are searched block by block.
 BLOCK_BYTES = 16 << 20
-_BASE = 0x9E3779B97F4A7C15
 
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[0x00:0x30] = _IN_WORD[0x3A:0x61] = _IN_WORD[0x7B:0x80] = False
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-_SIGNS = _mixed(np.arange(1, 257, dtype=np.uint64))
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    p = np.ones(1, np.uint64)
-    while len(p) < n:
-        p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-    return p[:n]
-
-
-_UP, _DOWN = _power(_BASE, SHARD * 2), _power(pow(_BASE, -1, 1 << 64), SHARD * 2)
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, number of words of each text), A-Z in lower case."""
-    whole = b"\x00".join(texts) + b"\x00"
-    raw = np.frombuffer(whole.lower(), np.uint8)
-    inside = _IN_WORD[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    begins, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    n = len(raw)
-    up, down = (_UP, _DOWN) if n <= len(_UP) else (_power(_BASE, n), _power(pow(_BASE, -1, 1 << 64), n))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_SIGNS[raw] * up[:n], out=total[1:])
-    hashes = _mixed((total[stops] - total[begins]) * down[begins] + (stops - begins).astype(np.uint64))
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    return hashes, np.diff(np.searchsorted(begins, ends), prepend=0)
+    """(hash of each word, number of words of each text)."""
+    return byte_word_hashes(texts, _IN_WORD, b"\x00")
 
 
 @dataclass

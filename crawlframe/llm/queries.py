@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import bpe, counts, decontam, langid, linededup, pii, tokenfiles, warc
+from crawlframe.llm import bpe, counts, decontam, langid, linededup, neardup, pii, tokenfiles, warc
 from crawlframe.llm.common import table
 
 TOKEN_IDS = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(table(spark, sf_dir, "documents"), neardup.Rule(words=3, percent=85))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -66,8 +70,8 @@ from firsts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_line_dedup, op5_language_id, op6_token_files, op7_decontamination, op8_token_counts, op9_byte_bpe, op10_pii)}
+    return {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_near_dedup, op5_language_id, op6_token_files, op7_decontamination, op8_token_counts, op9_byte_bpe, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _WARC_SQL, "op2_line_dedup": linededup.ORACLE, "op7_decontamination": decontam.ORACLE}
+    return {"op1_warc": _WARC_SQL, "op2_line_dedup": linededup.ORACLE, "op3_near_dedup": neardup.ORACLE, "op7_decontamination": decontam.ORACLE}

@@ -52,7 +52,8 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0x94D049BB133111EB)
@@ -117,11 +118,11 @@ def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np
     up, down = _powers()
     if n > len(up):
         up, down = _longer(n)
-    terms = _mixed((cp + 1).astype(np.uint64)) * up[:n]
+    terms = mixed((cp + 1).astype(np.uint64)) * up[:n]
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(terms, out=total[1:])
-    hashes = _mixed((total[stops] - total[begins]) * down[begins] + (stops - begins).astype(np.uint64))
+    hashes = mixed((total[stops] - total[begins]) * down[begins] + (stops - begins).astype(np.uint64))
     return whole, begins, stops, hashes, np.searchsorted(ends_at, begins)
 
 
@@ -147,6 +148,29 @@ def _contractions(cp, kind, start, at, n) -> None:
         start[np.minimum(p + size, n - 1)] = True
 
 
+_SIGNS = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+def byte_word_hashes(texts: list[bytes], inside: np.ndarray, between: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, number of words of each text), A-Z in lower case.
+
+    ``inside`` tells which bytes are part of words; ``between`` is one that is not.
+    """
+    raw = np.frombuffer((between.join(texts) + between).lower(), np.uint8)
+    member = inside[raw]
+    edge = np.diff(member.astype(np.int8), prepend=np.int8(0))
+    begins, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    n = len(raw)
+    up, down = _powers()
+    if n > len(up):
+        up, down = _longer(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_SIGNS[raw] * up[:n], out=total[1:])
+    hashes = mixed((total[stops] - total[begins]) * down[begins] + (stops - begins).astype(np.uint64))
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    return hashes, np.diff(np.searchsorted(begins, ends), prepend=0)
+
+
 def gather(offsets: np.ndarray, store: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate ``store[offsets[i]:offsets[i + 1]]`` for each i of ``index``: (values, lengths)."""
     begins = offsets[index]
