@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import bpe, counts, decontam, langid, linededup, neardup, pii, tokenfiles, warc
+from crawlframe.llm import ann, bpe, counts, decontam, langid, linededup, neardup, pii, tokenfiles, warc
 from crawlframe.llm.common import table
 
 TOKEN_IDS = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), neardup.Rule(words=3, percent=85))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ from firsts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_near_dedup, op5_language_id, op6_token_files, op7_decontamination, op8_token_counts, op9_byte_bpe, op10_pii)}
+    return {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_near_dedup, op4_neighbours, op5_language_id, op6_token_files, op7_decontamination, op8_token_counts, op9_byte_bpe, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
