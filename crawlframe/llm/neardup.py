@@ -5,9 +5,11 @@ as bucket keys, and an odd sketch: the samples folded into a parity bitmap. The
 estimate the similarity sharply where it is high, so the sketches settle most candidates without their texts; links
 are confirmed on full shingle sets only.
 
-Groups of any size stay cheap. A bucket first ties its members to two pivots, which is linear in the bucket. Components of
-confirmed links follow by alternating star contraction. Where a bucket still spans several components, each member outside the
-largest one is compared with all members of other components, so no link between different texts is lost.
+Groups of any size stay cheap. A bucket ties its members to a pivot, the one with the smallest share of shingles of
+its own, and what stays apart to another pivot, which is linear in the bucket. Components of
+confirmed links follow by alternating star contraction. Where a bucket still spans several components, members outside the
+largest one are compared with members of other components, so no link between different texts is lost; shingles
+that only one text has bound the similarity of each such pair exactly, before its sets are looked at.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from crawlframe.llm.words import byte_word_hashes, mixed
 SAMPLES, BANDS = 96, 24
 ROWS = SAMPLES // BANDS
 BITS = 512
+#: Rounds of pivots before what is left is compared in full.
+PIVOTS = 3
 _WORDS = BITS // 64
 GROUP = 2 << 20
 _rng = np.random.default_rng(20240101)
@@ -126,9 +130,34 @@ def profile(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _near(a: str, b: str, rule: Rule):
-    """Sizes and sketches of two classes allow for a link."""
+    """Sizes, shared shingles and sketches of two classes allow for a link."""
     bits = " + ".join(f"bit_count({a}.odd[{k}] ^ {b}.odd[{k}])" for k in range(_WORDS))
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {rule.percent} * greatest({a}.n, {b}.n) and {bits} <= {rule.most_bits}")
+    most = f"least({a}.common, {b}.common)"
+    return F.expr(f"100 * {most} >= {rule.percent} * ({a}.n + {b}.n - {most}) and {bits} <= {rule.most_bits}")
+
+
+def _possible(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that pass :func:`_near`."""
+    both = pairs.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id"))
+    return both.filter(_near("x", "y", rule)).select("a", "b")
+
+
+def _own_shingles(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(id, own): how many shingles of each text no other text here has.
+
+    Two texts can't share those, which bounds their similarity exactly. Shingles go by 32 bits, and a clash only makes
+    the number smaller, so the bound stays safe. One row for each shingle of each task is shuffled.
+    """
+    def run(batches):
+        for pdf in batches:
+            for a, b in slices((pdf["text"].str.len() + 1).tolist(), GROUP):
+                sets = shingle_sets(pdf["text"].iloc[a:b].tolist(), rule.words)
+                yield pdf.iloc[a:b][["id"]].assign(shingles=[(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in sets])
+
+    shingles = texts.mapInPandas(run, "id long, shingles array<int>").select("id", F.explode("shingles").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
+    own = alone.groupBy("id").agg(F.count("*").alias("own"))
+    return texts.select("id").join(own, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -147,8 +176,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                     good.append(rule.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
                 yield pd.DataFrame({"a": part["a"], "b": part["b"]})[good]
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    left = pairs.join(texts.hint("merge").select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.hint("merge").select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
@@ -191,34 +220,42 @@ def cluster(docs: DataFrame, rule: Rule = Rule(), work: Workspace | None = None)
     full = rows.filter("n > 0")
     classes = full.groupBy("digest", "n", "bands", "odd").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("id"))
     classes = work.save(classes, "classes")
-    members = classes.select("id", "n", "odd", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id", "n", "odd")
     slim = classes.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id")
-    buckets = slim.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.max("id").alias("last")).filter("members > 1")
-    shared = work.save(slim.join(buckets, "key").select("key", "id", "first", "last"), "shared")
-    pivots = shared.select("id", "first").unionByName(shared.select("id", F.col("last").alias("first"))).filter("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
-    facts = classes.select("id", "n", "odd")
-    near = pivots.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id")).filter(_near("x", "y", rule)).select("a", "b")
-    near = work.save(near, "near")
-    ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text_of = rows.select(F.col("rid").alias("id"), "text")
-    texts = work.save(text_of.join(ids(near), "id", "left_semi"), "texts")
-    links = work.save(_confirmed(near, texts, rule), "links")
-    first_roots = work.save(components(links, work, "star"), "roots")
-
-    rooted = shared.select("key", "id").join(first_roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    spread = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("major")).filter("roots > 1")
-    open_ = work.save(rooted.join(spread, "key").join(facts, "id").select("key", "id", "root", "major", "n", "odd"), "open")
-    minor = open_.filter("root <> major").select("key", "id", "root", "n", "odd")
+    buckets = slim.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    shared = work.save(slim.join(buckets, "key"), "shared")
+    texts = rows.select(F.col("rid").alias("id"), "text").hint("merge").join(shared.select("id").distinct(), "id", "left_semi")
+    texts = work.save(texts, "texts")
+    facts = classes.select("id", "n", "odd").join(_own_shingles(texts, rule), "id").select("id", "n", "odd", (F.col("n") - F.col("own")).alias("common"))
+    facts = work.save(facts, "facts")
+    left = work.save(shared.join(facts, "id").select("key", "id", "n", "common"), "left0")
+    links = None
+    for turn in range(PIVOTS):
+        oddest = F.struct((1 - F.col("common") / F.col("n")).alias("share"), "id")
+        pivots = left.groupBy("key").agg(F.min_by("id", oddest).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+        tried = left.select("key", "id").join(pivots, "key").filter("id <> pivot")
+        pairs = tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        found = work.save(_confirmed(work.save(_possible(pairs, facts, rule), f"near{turn}"), texts, rule), f"links{turn}")
+        links = found if links is None else links.unionByName(found)
+        if turn + 1 < PIVOTS:
+            tied = found.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(found.select(F.col("b").alias("x"), F.col("a").alias("y")))
+            open_ = left.join(pivots, "key").filter("id <> pivot")
+            open_ = open_.join(tied, (F.col("id") == F.col("x")) & (F.col("pivot") == F.col("y")), "left_anti")
+            left = work.save(open_.select("key", "id", "n", "common"), f"left{turn + 1}")
+    roots = work.save(components(links, work, "star"), "roots")
+
+    rooted = shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")).join(facts, "id")
+    spread = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("n").alias("n")).groupBy("key")
+    spread = spread.agg(F.count("*").alias("roots"), F.min("n").alias("least_n"), F.max_by("root", F.struct("c", "root")).alias("major")).filter("roots > 1")
+    able = F.col("common") * 100 >= rule.percent * (F.col("n") + F.greatest("least_n", "common") - F.col("common"))
+    open_ = work.save(rooted.join(spread, "key").filter(able).select("key", "id", "root", "major", "n", "common", "odd"), "open")
+    minor = open_.filter("root <> major")
     rest = minor.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near("x", "y", rule))
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    rest = work.save(rest, "rest")
+    rest = work.save(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
-        more = text_of.join(ids(rest), "id", "left_semi")
-        found = work.save(_confirmed(rest, work.save(more, "more_texts"), rule), "more_links")
-        links = links.unionByName(found)
-        first_roots = components(links, work, "again")
+        links = links.unionByName(work.save(_confirmed(rest, texts, rule), "more_links"))
+        roots = components(links, work, "again")
 
-    named = classes.select("digest", "id", "doc_id").join(first_roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = classes.select("digest", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     verdict = work.save(named.join(smallest, "root").select("digest", "component_id"), "verdict")
     result = full.select("doc_id", "n", "digest").join(verdict, "digest").select("doc_id", "n", "component_id")

@@ -21,7 +21,9 @@ from crawlframe.llm.words import ByteTable, WordTable, encode_checked
 
 MAGIC = b"DAC1"
 STEP = 512
-GROUP = 4 << 20
+GROUP = 2 << 20
+#: Starts of so many files are broadcast at most; beyond, blocks and starts are joined by a shuffle.
+MOST_FILES = 1_000_000
 _COUNTS = np.array([bin(i).count("1") for i in range(256)], np.uint32)
 
 
@@ -124,7 +126,7 @@ def write(docs: DataFrame, path: str, target: str, end_id: int | None = 2, block
     The texts are dealt out by ranges of doc_id before they are encoded, so the encoder runs once.
     """
     def run(batches):
-        coder = tokenizer(path)
+        coder, before = tokenizer(path), 0
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["text"]]
             keys = [None if k is None or k != k else int(k) for k in pdf["doc_id"].astype(object)]
@@ -136,13 +138,14 @@ def write(docs: DataFrame, path: str, target: str, end_id: int | None = 2, block
                     import pandas as pd
 
                     ids = np.concatenate(rows[c:d]) if d > c else np.zeros(0, np.uint32)
-                    yield pd.DataFrame({"doc_ids": [keys[a + c : a + d]], "counts": [[len(r) for r in rows[c:d]]], "codes": [pack(ids)]})
+                    yield pd.DataFrame({"before": [before], "doc_ids": [keys[a + c : a + d]], "counts": [[len(r) for r in rows[c:d]]], "codes": [pack(ids)]})
+                    before += len(ids)
 
     rows = only(docs, "doc_id", "text")
     n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // rows_per_file))
     dealt = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
-    blocks = dealt.mapInPandas(run, "doc_ids array<long>, counts array<long>, codes binary")
-    blocks.select(F.spark_partition_id().alias("file"), F.monotonically_increasing_id().alias("block"), "*").write.mode("overwrite").option("compression", "zstd").parquet(target)
+    blocks = dealt.mapInPandas(run, "before long, doc_ids array<long>, counts array<long>, codes binary")
+    blocks.select(F.spark_partition_id().alias("file"), "*").write.mode("overwrite").option("compression", "zstd").parquet(target)
 
 
 def read(spark: SparkSession, source: str) -> DataFrame:
@@ -168,16 +171,14 @@ def _read(spark: SparkSession, source: str, column: str, value) -> DataFrame:
                 rows = np.split(Codes(data).all(), ends[:-1])
                 yield pd.DataFrame({"doc_id": pd.array([None if k is None or k != k else int(k) for k in keys], "Int64"), "start": base + ends - counts, "n_tokens": counts, name: [value(r) for r in rows]})
 
-    blocks = spark.read.schema("file int, block long, doc_ids array<long>, counts array<long>, codes binary").parquet(source)
+    blocks = spark.read.schema("file int, before long, doc_ids array<long>, counts array<long>, codes binary").parquet(source)
     size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = blocks.select("file", "block", size.alias("size"))
-    files = sizes.groupBy("file").agg(F.sum("size").alias("size"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("file_start"))
-    within = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("in_file", F.coalesce(F.sum("size").over(within), F.lit(0))).join(files, "file")
-    starts = starts.select("block", (F.col("file_start") + F.col("in_file")).alias("base"))
-    based = blocks.join(starts, "block").select("base", "doc_ids", "counts", "codes")
+    files = blocks.groupBy("file").agg(F.max(F.col("before") + size).alias("size"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    if files.count() <= MOST_FILES:  # a dozen bytes for each file
+        files = F.broadcast(files)
+    based = blocks.join(files, "file").select((F.col("start") + F.col("before")).alias("base"), "doc_ids", "counts", "codes")
     return based.mapInPandas(run, f"doc_id long, start long, n_tokens long, {column}")
 
 

@@ -41,7 +41,9 @@ def write(pages: DataFrame, target: str, min_revisit_bytes: int = 0, date: str =
     """
     rows = only(pages, "page_id", "url", "html").withColumn("payload", F.coalesce(F.col("html").cast("binary"), F.lit(b""))).drop("html")
     rows = rows.select("*", F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").cast("long").alias("length"))
-    first = rows.groupBy("sha256", "length").agg(F.min("page_id").alias("first_id"))
+    stored = rows.groupBy("sha256", "length").agg(F.min("page_id").alias("first_id"), F.first("payload").alias("payload"))
+    stored.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/payloads")
+    first = rows.sparkSession.read.schema(stored.schema).parquet(f"{target}/payloads").drop("payload")
     marks = rows.select("page_id", "url", "sha256", "length", base32_sha1(F.col("payload")).alias("sha1")).join(first, ["sha256", "length"])
     own = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("length") < min_revisit_bytes)
     kind = F.when(own, "response").otherwise("revisit")
@@ -60,20 +62,11 @@ def write(pages: DataFrame, target: str, min_revisit_bytes: int = 0, date: str =
     ]
     header = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF)).cast("binary")
     marks.select("page_id", header.alias("header"), "sha256", "length").write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/headers")
-    stored = _first_of_each(rows, first)
-    stored.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/payloads")
-
-
-def _first_of_each(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """One payload for each digest: the bytes move only for rows that hold a smallest page_id."""
-    chosen = first.select(F.col("first_id"), F.col("sha256").alias("s"), F.col("length").alias("n"))
-    match = rows.join(chosen, rows.page_id.eqNullSafe(chosen.first_id) & (rows.sha256 == chosen.s) & (rows.length == chosen.n), "left_semi")
-    return match.select("sha256", "length", "payload").dropDuplicates(["sha256", "length"])
 
 
 def payloads(spark: SparkSession, source: str) -> DataFrame:
     """(sha256, length, payload, sound): stored payloads, hashed again as they are read."""
-    stored = spark.read.parquet(f"{source}/payloads")
+    stored = spark.read.parquet(f"{source}/payloads").drop("first_id")
     sound = (F.sha2("payload", 256) == F.col("sha256")) & (F.octet_length("payload") == F.col("length"))
     return stored.withColumn("sound", sound)
 
