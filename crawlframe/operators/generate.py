@@ -1,7 +1,7 @@
 """Fetch lists: selection with a time lock, segments with a quota, balanced lists, and the lock's write-back.
 
-Positions in a global order come from sorted range partitions and a small table of their sizes, so no step
-gathers all rows in one task.
+Positions in a global order come from buckets of a hash and a small table of their sizes, so no step gathers all rows
+in one task.
 """
 
 from __future__ import annotations
@@ -31,28 +31,30 @@ def stamp(rows: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
     return rows.withColumn("meta_data", put_all("meta_data", F.create_map(F.lit(S.LOCK_KEY), F.lit(str(config.now_ms)))))
 
 
-def positions(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with a column ``position``, from 0, in the order of columns that tell all rows apart.
+def positions(rows: DataFrame, digest: Column, *ties: str) -> DataFrame:
+    """``rows`` with a column ``position``, from 0, in the order of a hex digest and then of ``ties``.
 
-    Rows are range-partitioned and sorted; each partition numbers its own, and a table with one row for
-    each partition gives what stands before it.
+    The first three digits deal rows evenly to 4096 buckets. Counts of the buckets, a table of bounded
+    size, tell what stands before each; within a bucket a window numbers the rows. Both follow from the rows alone,
+    so a task that runs again gives the same positions.
     """
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = sorted_.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return numbered.join(F.broadcast(starts), "_part").withColumn("position", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+    keyed = rows.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 3))
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", *ties)) - 1
+    placed = keyed.withColumn("_in", inside).join(F.broadcast(starts), "_bucket")
+    return placed.withColumn("position", F.col("_start") + F.col("_in")).drop("_digest", "_bucket", "_in", "_start")
 
 
 def segments(selected: DataFrame, config: CrawlConfig = CrawlConfig(), seed: int | None = None) -> DataFrame:
-    """Segment number and fetch list of each selected row, in the order of a hash of the url (or of random numbers with ``seed``).
+    """Segment number and fetch list of each selected row, in the order of a hash of the url.
 
-    A segment has ``urls_per_segment`` rows, the last one fewer; lists of a segment differ by one row at most.
-    Rows beyond ``max_segments`` are left for another time.
+    A ``seed`` goes into the hash and gives another order. A segment has ``urls_per_segment`` rows, the last one fewer; lists
+    of a segment differ by one row at most. Rows beyond ``max_segments`` are left for another time.
     """
-    key = F.md5("url") if seed is None else F.rand(seed)
-    placed = positions(selected.withColumn("_key", key), "_key", "url").drop("_key")
+    digest = F.md5("url") if seed is None else F.md5(F.concat(F.lit(f"{seed}:"), "url"))
+    placed = positions(selected, digest, "url")
     segment = (F.floor(F.col("position") / config.urls_per_segment) + 1).cast("int")
     list_ = F.pmod(F.col("position"), F.lit(config.fetch_lists)).cast("int")
     out = placed.select(*selected.columns, segment.alias("segment_no"), list_.alias("fetch_list"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from crawlframe.plans import crawl_queries, function_queries, state_queries, storage_queries  # noqa: F401  they register their queries
+from crawlframe.plans.registry import FOUND, SQL
+
 
 def queries():
-    return {}
+    return dict(FOUND)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
