@@ -30,6 +30,8 @@ ROWS = SAMPLES // BANDS
 BITS = 512
 #: Rounds of pivots before what is left is compared in full.
 PIVOTS = 3
+#: Shingles of so many open texts at most are rare; pairs that share one are listed by shingle.
+RARE = 64
 _WORDS = BITS // 64
 GROUP = 2 << 20
 _rng = np.random.default_rng(20240101)
@@ -142,24 +144,54 @@ def _possible(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     return both.filter(_near("x", "y", rule)).select("a", "b")
 
 
-def _own_shingles(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(id, own): how many shingles of each text no other text here has.
-
-    Two texts can't share those, which bounds their similarity exactly. Shingles go by 32 bits, and a clash only makes
-    the number smaller, so the bound stays safe. One row for each shingle of each task is shuffled.
-    """
+def _shingles(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(id, shingle): 32 bits of each different shingle of each text; a clash makes two of them one."""
     def run(batches):
         for pdf in batches:
             for a, b in slices((pdf["text"].str.len() + 1).tolist(), GROUP):
                 sets = shingle_sets(pdf["text"].iloc[a:b].tolist(), rule.words)
-                yield pdf.iloc[a:b][["id"]].assign(shingles=[(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in sets])
+                yield pdf.iloc[a:b][["id"]].assign(shingles=[np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in sets])
+
+    return texts.mapInPandas(run, "id long, shingles array<int>").select("id", F.explode("shingles").alias("shingle"))
+
+
+def _own_shingles(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(id, own): how many shingles of each text no other text here has.
 
-    shingles = texts.mapInPandas(run, "id long, shingles array<int>").select("id", F.explode("shingles").alias("shingle"))
-    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
+    Two texts can't share those, which bounds their similarity exactly. Clashes of shingles only make the number smaller,
+    so the bound stays safe. One row for each shingle of each task is shuffled.
+    """
+    alone = _shingles(texts, rule).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
     own = alone.groupBy("id").agg(F.count("*").alias("own"))
     return texts.select("id").join(own, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"))
 
 
+def _apart(open_: DataFrame, texts: DataFrame, rule: Rule, work: Workspace) -> DataFrame:
+    """(a, b): every pair of open texts of one bucket and different components that may still be linked.
+
+    A pair either shares a rare shingle, and then is listed under it, which takes ``RARE`` rows for each place of a shingle at
+    most; or it shares none, and then all rare shingles of either one are missing in the other. That bound leaves few
+    texts of a bucket to compare.
+    """
+    one = open_.select("id", "root", "n", "common", "odd").dropDuplicates(["id"])
+    shingles = work.save(_shingles(texts.join(one.select("id"), "id", "left_semi"), rule), "shingles")
+    seldom = shingles.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE)
+    held = work.save(shingles.join(seldom, "shingle"), "rare")
+    listed = held.filter("df > 1").select("id", "shingle").join(one, "id")
+    sharing = listed.alias("x").join(listed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _near("x", "y", rule))
+    rare = held.groupBy("id").agg(F.count("*").alias("rare"))
+    left = open_.join(rare, "id", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).filter(_able(rule))
+    minor = left.filter("root <> major")
+    without = minor.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near("x", "y", rule))
+    pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return sharing.select(*pair).unionByName(without.select(*pair)).distinct()
+
+
+def _able(rule: Rule):
+    """The most that a text can share still allows for a link with the smallest text of its bucket."""
+    return F.col("common") * 100 >= rule.percent * (F.col("n") + F.greatest("least_n", "common") - F.col("common"))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
     def run(batches):
@@ -246,11 +278,8 @@ def cluster(docs: DataFrame, rule: Rule = Rule(), work: Workspace | None = None)
     rooted = shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")).join(facts, "id")
     spread = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("n").alias("n")).groupBy("key")
     spread = spread.agg(F.count("*").alias("roots"), F.min("n").alias("least_n"), F.max_by("root", F.struct("c", "root")).alias("major")).filter("roots > 1")
-    able = F.col("common") * 100 >= rule.percent * (F.col("n") + F.greatest("least_n", "common") - F.col("common"))
-    open_ = work.save(rooted.join(spread, "key").filter(able).select("key", "id", "root", "major", "n", "common", "odd"), "open")
-    minor = open_.filter("root <> major")
-    rest = minor.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near("x", "y", rule))
-    rest = work.save(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "rest")
+    open_ = work.save(rooted.join(spread, "key").filter(_able(rule)).select("key", "id", "root", "major", "n", "common", "odd", "least_n"), "open")
+    rest = work.save(_apart(open_, texts, rule, work), "rest")
     if not rest.isEmpty():
         links = links.unionByName(work.save(_confirmed(rest, texts, rule), "more_links"))
         roots = components(links, work, "again")
