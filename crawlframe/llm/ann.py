@@ -199,7 +199,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Setting
     ranked = good.dropDuplicates(["vec_id", "embedding"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
     entries = work.save(ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     n = entries.count()
-    picked = entries.orderBy(F.xxhash64(F.lit(settings.seed), "embedding"), "embedding").limit(settings.sample_rows)
+    drawn = entries.withColumn("_h", F.xxhash64(F.lit(settings.seed), "embedding"))
+    if n > 4 * settings.sample_rows:  # tasks hand on about twice the sample, however many they are
+        drawn = drawn.filter(F.col("_h") < int(2**64 * 2 * settings.sample_rows / n) - 2**63)
+    picked = drawn.orderBy("_h", "embedding").limit(settings.sample_rows)
     sample = np.array([r.embedding for r in picked.toLocalIterator()])
     router = learn(unit(sample), min(settings.max_parts, -(-n // settings.part_rows)), settings)
     handle = spark.sparkContext.broadcast(router)  # of a size that settings bound
