@@ -8,6 +8,7 @@ without decoding what stands around it.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from functools import lru_cache
@@ -21,7 +22,9 @@ from crawlframe.llm.words import ByteTable, WordTable, encode_checked
 
 MAGIC = b"DAC1"
 STEP = 512
-GROUP = 2 << 20
+GROUP = 1 << 19
+#: Words that the library encodes at once; an encoding takes far more memory than its ids.
+WORDS = 4096
 #: Starts of so many files are broadcast at most; beyond, blocks and starts are joined by a shuffle.
 MOST_FILES = 1_000_000
 _COUNTS = np.array([bin(i).count("1") for i in range(256)], np.uint32)
@@ -92,11 +95,12 @@ class LibraryTokenizer:
     """The tokenizers library, asked once for each different word."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table = WordTable(lambda words: [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        self.table = WordTable(self._ids, 1_000_000)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         signs = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -108,6 +112,12 @@ class LibraryTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return encode_checked(self.table, self.bytes, texts, self.exact, self.special)
 
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(words), WORDS):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + WORDS], add_special_tokens=False)]
+        return out
+
     def exact(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 

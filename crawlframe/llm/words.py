@@ -20,7 +20,7 @@ L, N, O, S, END = 0, 1, 2, 3, 4
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @lru_cache(1)
@@ -201,11 +201,10 @@ class WordTable:
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum()))])
-        known = len(self.hashes)
-        hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.rows = np.concatenate([self.rows, np.arange(known, len(hashes), dtype=np.int32)])[order]
+        known, order = len(self.hashes), np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.rows = np.insert(self.rows, at, (known + order).astype(np.int32))
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text ends)."""
