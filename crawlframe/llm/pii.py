@@ -147,18 +147,22 @@ class Field:
         lift = np.log(chain / chain.sum()) - np.log(chain.sum(1, keepdims=True) / chain.sum()) - np.log(chain.sum(0, keepdims=True) / chain.sum())
         agree = np.log(skip / skip.sum(1, keepdims=True))
         agree[0, :] = agree[:, 0] = agree[1:, 1:].min()
-        agree[0, 0] = 0.0
-        agree[1:, 1:] += np.log(len(LABELS)) * 3 * np.eye(4)
+        agree -= np.log(len(LABELS)) * 3
+        np.fill_diagonal(agree, 0.0)  # agreeing is no evidence in itself, so repeats alone never outweigh "other"
         return cls({k: np.log(v / v.sum()) for k, v in unary.items()}, 0.2 * lift, agree)
 
-    def infer(self, nodes: list, edges: list[tuple[int, int]], rounds: int = 12) -> np.ndarray:
-        """Marginals of each node by loopy belief propagation; observed nodes are clamped."""
+    def infer(self, nodes: list, edges: list[tuple[int, int]]) -> np.ndarray:
+        """Marginals of each node by loopy belief propagation until the messages stand still; observed nodes are clamped.
+
+        Each round goes half the way to the new messages. Loops can keep messages turning, so the step is halved after
+        every hundred rounds, which ends any such turning.
+        """
         n = len(nodes)
         default = np.log(np.array([0.8, 0.05, 0.05, 0.05, 0.05]))
         local = np.array([self.unary.get(x[2], default) for x in nodes])
         for k, x in enumerate(nodes):
             if x[4]:
-                local[k] = -50.0
+                local[k] = -np.inf  # no number of neighbours may outvote it
                 local[k, x[4]] = 0.0
         links = [(k, k + 1, self.chain) for k in range(n - 1)] + [(a, b, self.skip) for a, b in edges]
         source = np.array([x for a, b, _ in links for x in (a, b)], np.int64)
@@ -166,14 +170,20 @@ class Field:
         weight = np.array([x for _, _, w in links for x in (w, w.T)]).reshape(-1, 5, 5)
         back = np.arange(len(source)) ^ 1
         messages = np.zeros((len(source), 5))
-        for _ in range(rounds):
+        step, rounds, change = 0.5, 0, np.inf
+        while change > 1e-4:
             belief = local.copy()
             np.add.at(belief, target, messages)
             out = belief[source] - messages[back]
             out = out[:, :, None] + weight
             top = out.max(1)
             out = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-            messages = 0.5 * messages + 0.5 * (out - out.max(1, keepdims=True))
+            move = step * (out - out.max(1, keepdims=True) - messages)
+            messages += move
+            change = np.abs(move).max(initial=0.0)
+            rounds += 1
+            if rounds % 100 == 0:
+                step /= 2
         belief = local.copy()
         np.add.at(belief, target, messages)
         belief = np.exp(belief - belief.max(1, keepdims=True))
@@ -183,7 +193,8 @@ class Field:
 def graph(text: str, base: dict | None = None) -> tuple[list, list[tuple[int, int]]]:
     """Nodes (start, end, shape, keys, observed label) and skip edges.
 
-    Mentions with a key in common are linked to the one before, so edges grow with the mentions. A mention
+    Mentions with a key in common are linked to the first observed one of each label, to the very first where none is
+    observed, so evidence is one edge away however many mentions there are, and edges grow with the mentions. A mention
     inside a base span is that span's node.
     """
     base = base_spans(text) if base is None else base
@@ -201,13 +212,14 @@ def graph(text: str, base: dict | None = None) -> tuple[list, list[tuple[int, in
         kind = LABELS[label]
         nodes.append((a, b, f"base:{kind}", entity_keys(kind, text[a:b]), label))
     nodes.sort()
-    last: dict[str, int] = {}
-    edges = set()
+    members: dict[str, list[int]] = defaultdict(list)
     for k, x in enumerate(nodes):
-        for key in x[3]:
-            if key in last:
-                edges.add((last[key], k))
-            last[key] = k
+        for key in dict.fromkeys(x[3]):
+            members[key].append(k)
+    edges = set()
+    for ks in members.values():
+        hubs = {nodes[k][4]: k for k in reversed(ks) if nodes[k][4]} or {0: ks[0]}
+        edges.update((min(h, k), max(h, k)) for h in hubs.values() for k in ks if k != h and not nodes[k][4])
     return nodes, sorted(edges)
 
 

@@ -268,3 +268,13 @@ def test_pii_skip_links(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = pii.identify(df).collect()
     assert all(r.n_phone == 1 for r in found) and sum(r.spans.count("phone") == 2 for r in found) >= 36
+
+
+def test_pii_many_repeats():
+    """Each of fifty bare repeats is found, before the base span and after it; repeats of another number are not."""
+    bare, other = "then 4930 1234567 it is. " * 50, "part 555 0001 222 here. " * 50
+    for text in (f"call +4930 1234567 now. {bare}{other}", f"{other}{bare}call +4930 1234567 now."):
+        model = pii.Field.learn([text])
+        base, every = pii.spans(text, model)
+        assert len(base["phone"]) == 1 and len(every["phone"]) == 51
+        assert all(text[a:b].endswith("4930 1234567") for a, b in every["phone"]) and sum(map(len, every.values())) == 51
