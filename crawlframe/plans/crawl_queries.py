@@ -99,6 +99,12 @@ def parse_outlinks_regex(spark, sf_dir):
     return found.filter(F.col("link").startswith("http://example.com/") & F.col("link").endswith("?q=1"))
 
 
+@query()
+def parse_plain_links(spark, sf_dir):
+    """Every link in the text of every document, repeats included; parse_outlinks_regex is the slice that SQL states."""
+    return X.table(spark, sf_dir, "documents").select("doc_id", F.explode(html.plain_links("text")).alias("link"))
+
+
 @query(f"with {X.LINKS} select link as url, 67 as status, count(*) as n from links group by link")
 def parse_to_linked(spark, sf_dir):
     records = X.links(spark, sf_dir).select(F.col("url").alias("page"), F.col("link").alias("url"), F.lit("").alias("anchor"), F.lit(None).cast("int").alias("fetch_interval"), F.expr("map('parse_class', 'article')").alias("extend"))

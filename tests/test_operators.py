@@ -201,3 +201,18 @@ def test_config_from_session(spark):
         assert CrawlConfig.from_session(spark, fetch_lists=2) == replace(CrawlConfig(), retry_max=5, fetch_lists=2)
     finally:
         spark.conf.unset("crawlframe.retry_max")
+
+
+def test_plain_links_of_all_documents(spark, tmp_path):
+    """Links of every document against a search with re; a third of the ids, or made links alone, would not do."""
+    import re
+
+    from crawlframe.functions.html import URL_PATTERN
+    from crawlframe.plans import catalog
+
+    texts = [None, "", "none here", "see http://a.com/x?q=1 and HTTP://B.org/%7e#top", "ftp://c.net/f http://d.de/ http://d.de/", "(http://e.fr/a,b) mailto:me", "x\nhttps://g.io/1"]
+    rows = list(enumerate(texts)) + [(10 + i, f"at http://h.com/{i} now") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.queries()["parse_plain_links"](spark, str(tmp_path)).collect()))
+    want = sorted((i, m.group()) for i, t in rows for m in re.finditer(URL_PATTERN, t or "", re.ASCII))
+    assert got == want and {i for i, _ in got} == {3, 4, 5, 6, *range(10, 16)}
