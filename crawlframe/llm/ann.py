@@ -29,7 +29,8 @@ class Settings:
     neighbours: int = 10
     hidden: int = 64
     epochs: int = 30
-    #: A query is sent to parts until their probabilities add up to ``mass``, at least ``min_probes``.
+    #: A query is sent to parts until their probabilities add up to ``mass``, at least ``min_probes``, and on until they
+    #: hold enough ids for a full answer.
     mass: float = 0.995
     min_probes: int = 4
     block_rows: int = 2048
@@ -220,15 +221,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Setting
             best = np.argsort(-p, axis=1, kind="stable")
             mass = np.cumsum(np.take_along_axis(p, best, 1), axis=1)
             probes = np.maximum((mass < settings.mass).sum(1) + 1, settings.min_probes)
-            rows = [(i, part, block) for i in range(len(pdf)) for part in best[i, : probes[i]].tolist() for block in range(count.value.get(part, 0))]
+            held = np.array([count.value.get(part, (0, 0))[1] for part in range(p.shape[1])])
+            probes = np.maximum(probes, (np.cumsum(held[best], axis=1) < k + 1).sum(1) + 1)  # one may be the query itself
+            rows = [(i, part, block) for i in range(len(pdf)) for part in best[i, : probes[i]].tolist() for block in range(count.value.get(part, (0, 0))[0])]
             at = [i for i, _, _ in rows]
             queries = pdf["embedding"].tolist()
             yield pd.DataFrame({"query_id": pdf["vec_id"].to_numpy()[at], "query": [queries[i] for i in at], "part": [x[1] for x in rows], "block": [x[2] for x in rows]})
 
     placed = work.save(entries.mapInPandas(place, "embedding array<double>, ids array<long>, part long"), "placed")
-    blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / settings.block_rows).cast("int").alias("blocks"))
-    count = spark.sparkContext.broadcast({r.part: r.blocks for r in blocks.collect()})  # a number for each part
-    index = placed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("embedding"), F.col("blocks")).cast("int")).drop("blocks")
+    blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / settings.block_rows).cast("int").alias("blocks"), F.sum(F.size("ids")).alias("held"))
+    count = spark.sparkContext.broadcast({r.part: (r.blocks, r.held) for r in blocks.collect()})  # two numbers for each part
+    index = placed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("embedding"), F.col("blocks")).cast("int")).drop("blocks", "held")
     routed = asked.dropDuplicates(["vec_id"]).mapInPandas(route, "query_id long, query array<double>, part long, block int")
 
     def rerank(key, left, right):

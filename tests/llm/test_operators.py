@@ -278,3 +278,11 @@ def test_pii_many_repeats():
         base, every = pii.spans(text, model)
         assert len(base["phone"]) == 1 and len(every["phone"]) == 51
         assert all(text[a:b].endswith("4930 1234567") for a, b in every["phone"]) and sum(map(len, every.values())) == 51
+
+
+def test_neighbours_full_answers(spark):
+    """A query whose probed parts hold too few rows goes on to further parts."""
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 8)))], "vec_id long, embedding array<double>")
+    found = ann.search(vectors, vectors, settings=ann.Settings(part_rows=4, mass=0.0, min_probes=1)).groupBy("query_id").count().collect()
+    assert len(found) == 60 and all(r["count"] == 5 for r in found)
