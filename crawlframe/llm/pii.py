@@ -226,18 +226,16 @@ def graph(text: str, base: dict | None = None) -> tuple[list, list[tuple[int, in
 def spans(text: str, model: Field) -> tuple[dict, dict]:
     """(base spans, all spans) of a text.
 
-    Without a base span nothing is observed, every potential favours "other", and nothing is added; nor is it where
-    no skip edge leads to another mention.
+    Only where no skip edge leads to an open mention is nothing inferred.
     """
     base = base_spans(text)
     every = {k: list(v) for k, v in base.items()}
-    if any(base.values()):
-        nodes, edges = graph(text, base)
-        if any(nodes[a][4] == 0 or nodes[b][4] == 0 for a, b in edges):
-            best = model.infer(nodes, edges).argmax(1)
-            for x, label in zip(nodes, best.tolist()):
-                if x[4] == 0 and label:
-                    every[LABELS[label]].append((x[0], x[1]))
+    nodes, edges = graph(text, base)
+    if any(nodes[a][4] == 0 or nodes[b][4] == 0 for a, b in edges):
+        best = model.infer(nodes, edges).argmax(1)
+        for x, label in zip(nodes, best.tolist()):
+            if x[4] == 0 and label:
+                every[LABELS[label]].append((x[0], x[1]))
     return base, every
 
 

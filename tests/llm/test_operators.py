@@ -286,3 +286,12 @@ def test_neighbours_full_answers(spark):
     vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 8)))], "vec_id long, embedding array<double>")
     found = ann.search(vectors, vectors, settings=ann.Settings(part_rows=4, mass=0.0, min_probes=1)).groupBy("query_id").count().collect()
     assert len(found) == 60 and all(r["count"] == 5 for r in found)
+
+
+def test_pii_without_base_span():
+    """The field decides also where no base span stands; a learned one gives repeats of a rare shape no label."""
+    text = "ask 4930 1234567 or again 4930 1234567 there"
+    sure = pii.Field(unary={"number11": np.log([0.1, 0.1, 0.1, 0.1, 0.6])})
+    assert [len(x["phone"]) for x in pii.spans(text, sure)] == [0, 2]
+    learned = pii.Field.learn(["call +4930 1234567 now"] * 20)
+    assert not any(pii.spans("part 555 0001 222 here. " * 30, learned)[1].values())
