@@ -281,11 +281,54 @@ def test_pii_many_repeats():
 
 
 def test_neighbours_full_answers(spark):
-    """A query whose probed parts hold too few rows goes on to further parts."""
+    """A query whose probed parts hold too few rows goes on to further parts, and to all where ids repeat."""
     rng = np.random.default_rng(3)
-    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 8)))], "vec_id long, embedding array<double>")
-    found = ann.search(vectors, vectors, settings=ann.Settings(part_rows=4, mass=0.0, min_probes=1)).groupBy("query_id").count().collect()
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 8)))]
+    narrow = ann.Settings(part_rows=4, recall=0.0)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(vectors, vectors, settings=narrow).groupBy("query_id").count().collect()
     assert len(found) == 60 and all(r["count"] == 5 for r in found)
+    rows += [(7, x.tolist()) for x in rng.normal(size=(60, 8)) * 0.01 + rows[0][1]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(vectors, vectors, settings=narrow).collect()
+    assert len(found) == 300 and len({(r.query_id, r.vec_id) for r in found}) == 300
+    best = max(ann.cosines(np.array(rows[0][1]), np.array([x for i, x in rows if i == 7])))
+    assert next(r.score for r in found if (r.query_id, r.vec_id) == (0, 7)) == best
+    everything = ann.search(vectors, vectors, k=100).groupBy("query_id").count().collect()
+    assert all(r["count"] == 59 for r in everything)
+
+
+def test_neighbours_prune(spark):
+    """Fifty thousand vectors in many parts: recall against brute force, exact scores and order, and few rows scanned."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 32))[rng.integers(0, 500, 50_000)] + 0.3 * rng.normal(size=(50_000, 32))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    index = ann.build(vectors)
+    asked = vectors.filter("vec_id % 50 = 0")
+    routes = index.route(asked).cache()
+    assert len(index.sizes) >= 10 and index.scanned(routes) < 0.25
+    found = defaultdict(list)
+    for r in index.rank(routes).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 50_000, 50):
+        s = (x @ x[q]) / np.sqrt((x * x).sum(1) * (x[q] @ x[q]))
+        s[q] = -2
+        hits += len({i for i, _ in found[q]} & set(np.argpartition(-s, 5)[:5].tolist()))
+        assert len(found[q]) == 5 and all(abs(s[i] - v) < 1e-12 for i, v in found[q])
+        assert found[q] == sorted(found[q], key=lambda r: (-r[1], r[0]))
+    assert hits >= 0.9 * 5000
+
+
+def test_neighbours_far_scales(spark):
+    """Components far from one neither overflow nor vanish; equal vectors tie to the smaller id."""
+    rows = [(0, [1e200, 2e200]), (1, [1e-200, 2e-200]), (2, [2e-200, 1e-200]), (3, [1.0, 2.0]), (4, [1e200, 2e200])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 3, 4, 2] and abs(got[0].score - 1) < 1e-15 and abs(got[3].score - 0.8) < 1e-15
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    got = ann.search(same, same.filter("vec_id = 3")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 2, 4, 5]
 
 
 def test_pii_without_base_span():
