@@ -184,8 +184,9 @@ def test_token_files_against_library(spark, docs, no_docs):
             ids = [*library.encode(t, add_special_tokens=False).ids, 2]
             expected.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
             start += len(ids)
-        got = rows_of(tokenfiles.round_trip(df, queries.TOKEN_IDS).select("doc_id", "start", "n_tokens", "ids_crc32"))
-        assert got == sorted(expected, key=repr)
+        found = tokenfiles.round_trip(df, queries.TOKEN_IDS).cache()
+        assert rows_of(found.select("doc_id", "start", "n_tokens", "ids_crc32")) == sorted(expected, key=repr)
+        assert found.schema["doc_id"].dataType.simpleString() == "bigint" and found.filter("last_id <> 2").count() == 0
     assert tokenfiles.round_trip(docs, queries.TOKEN_IDS).count() == len(ROWS)
     assert tokenfiles.round_trip(no_docs, queries.TOKEN_IDS).count() == 0
 
@@ -195,7 +196,34 @@ def test_codes_random_access():
     for n in (0, 1, 511, 512, 513, 3000):
         ids = (2 ** rng.uniform(0, 31, n)).astype(np.uint32)
         codes = tokenfiles.Codes(tokenfiles.pack(ids))
-        assert (codes.all() == ids).all() and [codes[i] for i in range(n)] == ids.tolist()
+        assert (codes.slice(0, n) == ids).all() and [codes[i] for i in range(n)] == ids.tolist()
+        for a, b in rng.integers(0, n + 1, (30, 2)):
+            assert (codes.slice(min(a, b), max(a, b)) == ids[min(a, b) : max(a, b)]).all()
+
+
+def test_token_files_random_access(spark, docs, tmp_path):
+    """Single ids, ranges and batches of places through the files, against the library."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.TOKEN_IDS)
+    texts = {i: t or "" for i, t, _ in ROWS if i is not None}
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    for kind in ("long", "string"):
+        path = f"file://{tmp_path}/{kind}"
+        tokenfiles.write(docs.withColumn("doc_id", docs.doc_id.cast(kind)), queries.TOKEN_IDS, path, block=4096)
+        assert spark.read.parquet(path).schema["codes"].dataType.simpleString() == "binary"
+        for i in (1, 5, 9):
+            for k in (0, len(ids[i]) // 2, len(ids[i]) - 1):
+                assert tokenfiles.token_at(spark, path, i, k) == ids[i][k]
+            assert tokenfiles.tokens(spark, path, i, 1, 7) == ids[i][1:7] and tokenfiles.tokens(spark, path, i, 10**6) == []
+        with pytest.raises(IndexError):
+            tokenfiles.token_at(spark, path, 1, 1)
+        with pytest.raises(KeyError):
+            tokenfiles.token_at(spark, path, 77, 0)
+        asked = [(i, k) for i in texts for k in (-1, 0, 3, 3, 40_000, 10**7)] + [(77, 0), (None, 0), (1, None)]
+        got = tokenfiles.tokens_at(spark.createDataFrame(asked, "doc_id long, i long"), path)
+        expected = [(str(i), k, ids[i][k] if 0 <= k < len(ids[i]) else None) for i, k in asked[:-3] for _ in range(1 + (i == 3))]
+        assert sorted(((str(r.doc_id), r.i, r.token) for r in got.collect()), key=repr) == sorted(expected, key=repr)
 
 
 def test_decontamination_edges(spark, docs, no_docs):
