@@ -7,8 +7,10 @@ counted since. That is all the future depends on, so reading a character is a tr
 another such state, annotated with the change of the token count. States and transitions are made when they
 are first met and kept in a hash table that numpy searches for thousands of chunks at a time.
 
-Chunks start from a guessed state. Their true entry states follow by composing the chunks' state maps from
-left to right; a map is evaluated for the entry that occurs, and only until it meets the trace of the guess.
+A chunk stands for a map from entry state to exit state and count. Maps are tabled on the entries that can occur: the start,
+and every exit of the chunk before, until the tables are closed. All chunks are evaluated side by side, and an entry
+only until its trace meets that of the start, which takes a few characters in most texts. A parallel prefix scan
+then composes the maps in a logarithmic number of steps, which gives each chunk its true entry and the count before it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from crawlframe.llm.common import only, slices
 SPACE = "▁"
 GROUP = 4 << 20
 LANES = 8192
-#: Transitions that are kept at most; then the compilation starts anew.
+#: Slots for transitions; with half of them filled the next texts start the compilation anew. Within a group of texts it doubles.
 SLOTS = 1 << 22
 
 
@@ -102,12 +104,15 @@ class CountingTransducer:
     def clear(self) -> None:
         self.states: dict[tuple, int] = {}
         self.defs: list[tuple] = []
-        self.keys = np.full(SLOTS, -1, np.int64)
-        self.next = np.zeros(SLOTS, np.int32)
-        self.emit = np.zeros(SLOTS, np.int16)
-        self.filled = 0
+        self._table(SLOTS)
         self.start = self._state(((0, -1, 0),))
 
+    def _table(self, slots: int) -> None:
+        self.keys = np.full(slots, -1, np.int64)
+        self.next = np.zeros(slots, np.int32)
+        self.emit = np.zeros(slots, np.int16)
+        self.filled = 0
+
     def _state(self, definition: tuple) -> int:
         k = self.states.get(definition)
         if k is None:
@@ -140,33 +145,43 @@ class CountingTransducer:
         return self._state((*((n, u, since + emitted) for n, u, since in grown), (0, token, 0))), emitted
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key; transitions that are missing are made."""
-        at = self._slots(keys)
+        at, room = self._slots(keys), len(self.keys)
         open_ = np.flatnonzero(self.keys[at] != keys)
         while len(open_):
             missing = self.keys[at[open_]] == -1
             if missing.any():
                 for key in np.unique(keys[open_[missing]]).tolist():
-                    self._insert(key)
+                    self._insert(key, *self._transition(*divmod(key, self.width)))
+                if len(self.keys) != room:
+                    return self._find(keys)
                 at[open_] = self._slots(keys[open_])
             else:
-                at[open_] = (at[open_] + 1) % SLOTS
+                at[open_] = (at[open_] + 1) % room
             open_ = open_[self.keys[at[open_]] != keys[open_]]
         return at
 
-    def _insert(self, key: int) -> None:
+    def _insert(self, key: int, following: int, emitted: int) -> None:
+        if 2 * self.filled >= len(self.keys):
+            old = [x[self.keys != -1].tolist() for x in (self.keys, self.next, self.emit)]
+            self._table(2 * len(self.keys))
+            for entry in zip(*old):
+                self._insert(*entry)
         slot = int(self._slots(np.array([key]))[0])
         while self.keys[slot] != -1:
-            slot = (slot + 1) % SLOTS
-        self.next[slot], self.emit[slot] = self._transition(*divmod(key, self.width))
-        self.keys[slot] = key
+            slot = (slot + 1) % len(self.keys)
+        self.keys[slot], self.next[slot], self.emit[slot] = key, following, emitted
         self.filled += 1
 
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = self._find(state.astype(np.int64) * self.width + symbols)
+        return self.next[slot], self.emit[slot]
+
     def _run(self, symbols: np.ndarray) -> np.ndarray:
-        """Change of the count at each symbol."""
+        """Count up to and with each symbol."""
         lanes = min(LANES, max(1, len(symbols) // 64))
         size = -(-len(symbols) // lanes)
         padded = np.full(lanes * size, self.end, np.int64)
@@ -176,25 +191,72 @@ class CountingTransducer:
         emitted = np.empty((size, lanes), np.int16)
         trace[0] = self.start
         for k in range(size):
-            slot = self._find(trace[k].astype(np.int64) * self.width + grid[k])
-            trace[k + 1] = self.next[slot]
-            emitted[k] = self.emit[slot]
-        todo = np.flatnonzero(trace[size, :-1] != trace[0, 1:]) + 1
-        while len(todo):
-            state, lane, changed = trace[size, todo - 1], todo, []
-            trace[0, lane] = state
+            trace[k + 1], emitted[k] = self._step(trace[k], grid[k])
+        entries, exits, counts = self._maps(grid, trace, emitted)
+        index, before = self._scan(entries, exits, counts)
+        true = entries[np.arange(lanes), index]
+        lane = np.flatnonzero(true != self.start)
+        state = true[lane]
+        for k in range(size):
+            if not len(lane):
+                break
+            state, emitted[k, lane] = self._step(state, grid[k, lane])
+            apart = state != trace[k + 1, lane]
+            lane, state = lane[apart], state[apart]
+        return (np.cumsum(emitted, axis=0, dtype=np.int64) + before).T.reshape(-1)[: len(symbols)]
+
+    def _maps(self, grid: np.ndarray, trace: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entries, exits, counts), a row for each lane: its map on the start and on every exit of the lane before."""
+        size, lanes = grid.shape
+        before = np.zeros((size + 1, lanes), np.int32)
+        np.cumsum(emitted, axis=0, out=before[1:])
+        entries, exits, counts = trace[0][:, None].copy(), trace[size][:, None].copy(), before[size][:, None].copy()
+        filled = np.ones(lanes, np.int64)
+        while True:
+            lane, state = [], []
+            for j in range(entries.shape[1]):
+                wanted = exits[:-1, j]
+                lacking = np.flatnonzero((j < filled[:-1]) & ~(entries[1:] == wanted[:, None]).any(1))
+                lane, state = [*lane, lacking + 1], [*state, wanted[lacking]]
+            lane, first = np.unique(np.concatenate(lane), return_index=True)  # one for each lane at a time
+            if not len(lane):
+                return entries, exits, counts
+            state = np.concatenate(state)[first]
+            if filled[lane].max() == entries.shape[1]:
+                entries, exits, counts = (np.concatenate([x, np.full((lanes, 1), -1, x.dtype)], axis=1) for x in (entries, exits, counts))
+            column = filled[lane]
+            entries[lane, column] = state
+            filled[lane] += 1
+            total = np.zeros(len(lane), np.int32)
+            left = np.arange(len(lane))
             for k in range(size):
-                slot = self._find(state.astype(np.int64) * self.width + grid[k, lane])
-                emitted[k, lane] = self.emit[slot]
-                differs = self.next[slot] != trace[k + 1, lane]
-                lane, state = lane[differs], self.next[slot][differs]
-                trace[k + 1, lane] = state
-                if not len(lane):
+                state[left], change = self._step(state[left], grid[k, lane[left]])
+                total[left] += change
+                met = state[left] == trace[k + 1, lane[left]]
+                done = left[met]
+                total[done] += before[size, lane[done]] - before[k + 1, lane[done]]
+                state[done] = trace[size, lane[done]]
+                left = left[~met]
+                if not len(left):
                     break
-            else:
-                changed = lane
-            todo = np.array([x + 1 for x in changed if x + 1 < lanes and trace[size, x] != trace[0, x + 1]], np.int64)
-        return emitted.T.reshape(-1)[: len(symbols)]
+            exits[lane, column], counts[lane, column] = state, total
+
+    def _scan(self, entries: np.ndarray, exits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each lane's true entry, count before each lane), by composing all prefixes of the maps.
+
+        After each step a map stands for twice as many lanes, so the steps are the binary logarithm of the lanes.
+        """
+        lanes, self.steps = len(entries), 0
+        maps = np.zeros(entries.shape, np.int64)
+        for j in range(entries.shape[1]):
+            maps[:-1, j] = (entries[1:] == exits[:-1, j : j + 1]).argmax(1)
+        totals, span = counts.astype(np.int64), 1
+        while span < lanes:
+            earlier = maps[:-span]
+            totals[span:] = totals[:-span] + np.take_along_axis(totals[span:], earlier, 1)
+            maps[span:] = np.take_along_axis(maps[span:], earlier, 1)
+            span, self.steps = 2 * span, self.steps + 1
+        return np.append(0, maps[:-1, 0]), np.append(0, totals[:-1, 0])
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; an empty one has none."""
@@ -208,7 +270,7 @@ class CountingTransducer:
             symbols = self.symbol[np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)]
             ends = np.cumsum([len(texts[i]) + 2 for i in own])
             symbols[ends - 1] = self.end
-            total = np.cumsum(self._run(symbols), dtype=np.int64)[ends - 1]
+            total = self._run(symbols)[ends - 1]
             out[own] = np.diff(total, prepend=0)
         return out
 

@@ -247,6 +247,24 @@ def test_token_counts_against_library(spark, docs, no_docs):
     assert counts.count_tokens(no_docs, queries.TOKEN_COUNTS).count() == 0
 
 
+def test_token_counts_state_maps():
+    """Texts whose chunks never meet the guessed trace, a table that has to grow, and the steps of the scan."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.TOKEN_COUNTS)
+    machine = counts.CountingTransducer(counts.Vocabulary(queries.TOKEN_COUNTS))
+    rng = random.Random(5)
+    texts = ["a" * 10**6, "ab" * 50_000, " " * 30_001, "the" * 20_000, "0" * 9999, "".join(rng.choice("aet h") for _ in range(60_000)), "漢字😀" * 5000, "\n" * 700, "in" * 9999 + "g"]
+    for text in texts:
+        assert machine.count([text]).tolist() == [len(library.encode(text))]
+        lanes = min(counts.LANES, max(1, (len(text) + 2) // 64))
+        assert machine.steps == (lanes - 1).bit_length()
+    assert machine.count(texts).tolist() == [len(library.encode(t)) for t in texts]
+    machine.clear()
+    machine._table(64)
+    assert machine.count(texts[4:]).tolist() == [len(library.encode(t)) for t in texts[4:]] and len(machine.keys) > 64
+
+
 def test_byte_bpe_against_library(spark, docs, no_docs):
     import tiktoken
 
