@@ -32,6 +32,8 @@ BITS = 512
 PIVOTS = 3
 #: Shingles of so many open texts at most are rare; pairs that share one are listed by shingle.
 RARE = 64
+#: Members of a bucket, or rows of a class, that one task takes about where facts of the whole meet them.
+SHARE = 256
 _WORDS = BITS // 64
 GROUP = 2 << 20
 _rng = np.random.default_rng(20240101)
@@ -138,6 +140,11 @@ def _near(a: str, b: str, rule: Rule):
     return F.expr(f"100 * {most} >= {rule.percent} * ({a}.n + {b}.n - {most}) and {bits} <= {rule.most_bits}")
 
 
+def _dealt(facts: DataFrame) -> DataFrame:
+    """Facts of buckets (key, salts, ...), one for each share of a bucket, so that a large one is not one task."""
+    return facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
 def _possible(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that pass :func:`_near`."""
     both = pairs.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id"))
@@ -145,14 +152,14 @@ def _possible(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _shingles(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(id, shingle): 32 bits of each different shingle of each text; a clash makes two of them one."""
+    """(id, shingle): the 64-bit hash of each different shingle of each text; a clash makes two of them one."""
     def run(batches):
         for pdf in batches:
             for a, b in slices((pdf["text"].str.len() + 1).tolist(), GROUP):
                 sets = shingle_sets(pdf["text"].iloc[a:b].tolist(), rule.words)
-                yield pdf.iloc[a:b][["id"]].assign(shingles=[np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in sets])
+                yield pdf.iloc[a:b][["id"]].assign(shingles=[x.view(np.int64) for x in sets])
 
-    return texts.mapInPandas(run, "id long, shingles array<int>").select("id", F.explode("shingles").alias("shingle"))
+    return texts.mapInPandas(run, "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle"))
 
 
 def _own_shingles(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -253,41 +260,45 @@ def cluster(docs: DataFrame, rule: Rule = Rule(), work: Workspace | None = None)
     classes = full.groupBy("digest", "n", "bands", "odd").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("id"))
     classes = work.save(classes, "classes")
     slim = classes.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id")
-    buckets = slim.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    shared = work.save(slim.join(buckets, "key"), "shared")
+    buckets = slim.groupBy("key").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("salts"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    shared = slim.join(buckets, "key").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+    shared = work.save(shared, "shared")
     texts = rows.select(F.col("rid").alias("id"), "text").hint("merge").join(shared.select("id").distinct(), "id", "left_semi")
     texts = work.save(texts, "texts")
     facts = classes.select("id", "n", "odd").join(_own_shingles(texts, rule), "id").select("id", "n", "odd", (F.col("n") - F.col("own")).alias("common"))
     facts = work.save(facts, "facts")
-    left = work.save(shared.join(facts, "id").select("key", "id", "n", "common"), "left0")
+    left = work.save(shared.join(facts, "id").select("key", "salts", "salt", "id", "n", "common"), "left0")
     links = None
     for turn in range(PIVOTS):
         oddest = F.struct((1 - F.col("common") / F.col("n")).alias("share"), "id")
-        pivots = left.groupBy("key").agg(F.min_by("id", oddest).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-        tried = left.select("key", "id").join(pivots, "key").filter("id <> pivot")
+        pivots = left.groupBy("key").agg(F.min_by("id", oddest).alias("pivot"), F.count("*").alias("members"), F.max("salts").alias("salts")).filter("members > 1")
+        pivots = _dealt(pivots.drop("members"))
+        tried = left.select("key", "salt", "id").join(pivots, ["key", "salt"]).filter("id <> pivot")
         pairs = tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         found = work.save(_confirmed(work.save(_possible(pairs, facts, rule), f"near{turn}"), texts, rule), f"links{turn}")
         links = found if links is None else links.unionByName(found)
         if turn + 1 < PIVOTS:
             tied = found.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(found.select(F.col("b").alias("x"), F.col("a").alias("y")))
-            open_ = left.join(pivots, "key").filter("id <> pivot")
+            open_ = left.join(pivots, ["key", "salt"]).filter("id <> pivot")
             open_ = open_.join(tied, (F.col("id") == F.col("x")) & (F.col("pivot") == F.col("y")), "left_anti")
-            left = work.save(open_.select("key", "id", "n", "common"), f"left{turn + 1}")
+            left = work.save(open_.select("key", "salts", "salt", "id", "n", "common"), f"left{turn + 1}")
     roots = work.save(components(links, work, "star"), "roots")
 
-    rooted = shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")).join(facts, "id")
-    spread = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("n").alias("n")).groupBy("key")
-    spread = spread.agg(F.count("*").alias("roots"), F.min("n").alias("least_n"), F.max_by("root", F.struct("c", "root")).alias("major")).filter("roots > 1")
-    open_ = work.save(rooted.join(spread, "key").filter(_able(rule)).select("key", "id", "root", "major", "n", "common", "odd", "least_n"), "open")
+    rooted = shared.join(roots, "id", "left").select("key", "salts", "salt", "id", F.coalesce("root", "id").alias("root")).join(facts, "id")
+    spread = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("salts").alias("salts")).groupBy("key")
+    spread = spread.agg(F.count("*").alias("roots"), F.min("n").alias("least_n"), F.max_by("root", F.struct("c", "root")).alias("major"), F.max("salts").alias("salts")).filter("roots > 1")
+    open_ = work.save(rooted.drop("salts").join(_dealt(spread.drop("roots")), ["key", "salt"]).filter(_able(rule)).select("key", "id", "root", "major", "n", "common", "odd", "least_n"), "open")
     rest = work.save(_apart(open_, texts, rule, work), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(work.save(_confirmed(rest, texts, rule), "more_links"))
-        roots = components(links, work, "again")
+        more = work.save(_confirmed(rest, texts, rule), "more_links")
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), work, "again")
 
     named = classes.select("digest", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     verdict = work.save(named.join(smallest, "root").select("digest", "component_id"), "verdict")
-    result = full.select("doc_id", "n", "digest").join(verdict, "digest").select("doc_id", "n", "component_id")
+    result = full.select("doc_id", "n", "digest", F.pmod(F.hash("rid"), F.lit(64)).alias("salt"))
+    cells = result.select("digest", "salt").distinct().join(verdict, "digest")  # rows of a class meet its verdict in shares
+    result = result.join(cells, ["digest", "salt"]).select("doc_id", "n", "component_id")
     alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return result.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

@@ -125,6 +125,30 @@ def test_near_dedup_against_force(spark, words, percent, seed):
     assert got == clusters_by_force(docs, words, percent)
 
 
+def test_near_dedup_large_bucket(spark, monkeypatch):
+    """Two thousand variants of one text in common buckets, few of them linked: pairs that are looked at stay few."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for d in range(2000):
+        words = list(base)
+        for at in rng.sample(range(200), 12):
+            words[at] = f"x{d}_{at}"
+        docs.append((d, " ".join(words)))
+    docs += [(5000 + d, t + " tail") for d, t in docs[:40]]
+    tried = []
+
+    def confirmed(pairs, texts, rule, inner=neardup._confirmed):
+        tried.append(pairs.count())
+        return inner(pairs, texts, rule)
+
+    monkeypatch.setattr(neardup, "_confirmed", confirmed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in neardup.cluster(df, neardup.Rule(3, 85)).collect()}
+    assert got == {(d, d - 5000 * (d >= 5000)) for d, _ in docs}
+    assert sum(tried) <= 24 * neardup.PIVOTS * len(docs)
+
+
 def test_near_dedup_edges(docs, no_docs):
     got = neardup.cluster(docs).collect()
     assert len(got) == len(ROWS) and neardup.cluster(no_docs).count() == 0
