@@ -184,10 +184,54 @@ def test_neighbours_edges(spark):
 
 def test_language_held_out(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    found = langid.identify(docs).cache()
+    got = found.join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got) > 0
-    for r in langid.identify(docs).limit(200).collect():
+    for r in found.collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        assert r.lang_pred != "und" or (r.score == 0 and r.rejected)
+
+
+def language_by_force(text: str, model: langid.Model) -> tuple[str, float]:
+    """Mean over all n-grams, one at a time, of a table row, and the softmax of it."""
+    signs, rows = [ord(c) for c in f" {text.lower()} "], []
+    for i in range(len(signs)):
+        h = 0
+        for n in langid.ORDERS:
+            if i + n <= len(signs):
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (signs[i + n - 1] * 0x9E3779B1 & 0xFFFFFFFF)
+                rows.append(((h ^ h >> 15) * (0x2C1B3C6D + 2 * n) & 0xFFFFFFFF) >> 17)
+    z = model.table[rows].mean(0)[:-1] / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.langs[p.argmax()], p.max()
+
+
+def test_language_against_force(spark, monkeypatch):
+    """Predictions and scores, also where texts are longer than a window."""
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    force = {i: language_by_force(t, model) for i, t in texts if t and any(map(str.isalpha, t))}
+    for r in langid.predict(docs, model).collect():
+        if r.doc_id in force:
+            assert r.lang_pred == force[r.doc_id][0] and abs(r.score - force[r.doc_id][1]) < 1e-9
+    monkeypatch.setattr(langid, "GROUP", 17)
+    sure = model.scores([t for i, t in texts if i in force][:40])[0].max(1)
+    assert np.allclose(sure, [force[i][1] for i, _ in texts if i in force][:40], atol=1e-9)
+
+
+def test_language_rejection(spark):
+    """Other scripts, scrambled letters and noise go; nearly all texts of the tables stay, long and short."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit(docs)
+    rng = random.Random(3)
+    foreign = ["漢字仮名交じり文は日本語の文です", "Привет как дела сегодня хорошо", "γειά σου κόσμε τι κάνεις", "qwrtpsdfg hjklzx cvbnm xqzj kwvpt"]
+    foreign += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(120)) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string")
+    assert all(r.rejected for r in langid.predict(rows, model).collect())
+    got = langid.predict(docs, model).filter("lang_pred <> 'und'").collect()
+    assert sum(r.rejected for r in got) <= 0.002 * len(got)
+    assert langid.keep(docs.filter("text is not null")).count() >= 0.998 * len(got)
 
 
 def test_language_edges(docs, no_docs):
