@@ -4,8 +4,9 @@ The base patterns find e-mail addresses, IP addresses, card and phone numbers. T
 of the same number without its sign or spacing, or of an address's name alone. Its nodes are mentions (number
 groups and name-like words); neighbours in the text share chain potentials, and mentions with the same or a similar
 content, however far apart, share skip potentials. Loopy belief propagation makes labels agree over a
-document. Potentials are learned piece by piece from counts in a bounded sample in which the base
-patterns give the labels. Base spans are observed and never change.
+document. Potentials are learned by gradient ascent of the pseudo-likelihood on a bounded sample: open mentions that no base span
+explains are "other", and each base span gets a planted repeat, in the form in which repeats come, that carries its kind. Base
+spans are observed and never change.
 """
 
 from __future__ import annotations
@@ -84,87 +85,130 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
-def entity_keys(kind: str, value: str) -> list[str]:
-    """What another mention of the entity would share with it."""
+def _number_keys(digits: str) -> tuple[list[str], list[str]]:
+    """Keys of an equal number, with or without its country's code, and of one with equal last digits."""
+    return [f"d:{digits}", *([f"d:{digits[-10:]}"] if len(digits) > 10 else [])], [f"t:{digits[-8:]}"] if len(digits) >= 8 else []
+
+
+def _name_keys(name: str) -> tuple[list[str], list[str]]:
+    """Keys of an equal name, and of one with equal letters however they are parted and numbered."""
+    letters = "".join(c for c in name.lower() if c.isalpha())
+    return [f"n:{name.lower()}"], [f"l:{letters}"] if len(letters) >= 6 else []
+
+
+def entity_keys(kind: str, value: str) -> tuple[list[str], list[str]]:
+    """What an equal mention of the entity would share with it, and what a similar one would."""
     if kind == "email":
-        local = value.split("@")[0].lower()
-        return [f"n:{local}"] if len(local) >= 5 and any(c.isdigit() or c == "." for c in local) else []
-    digits = _digits(value)
+        local = value.split("@")[0]
+        return _name_keys(local) if len(local) >= 5 and any(c.isdigit() or c == "." for c in local) else ([], [])
     if kind == "ip":
-        return [f"p:{'.'.join(re.findall('[0-9]+', value))}"]
-    if kind == "phone":
-        return [f"d:{digits}", *([f"d:{digits[-10:]}"] if len(digits) > 10 else [])]
-    return [f"d:{digits}"]
+        return [f"p:{'.'.join(re.findall('[0-9]+', value))}"], []
+    return _number_keys(_digits(value))
 
 
-def mention_keys(text: str) -> list[tuple[int, int, str, list[str]]]:
-    """(start, end, shape, keys) of each mention that could be personal data."""
+def mention_keys(text: str) -> list[tuple[int, int, str, tuple[list[str], list[str]]]]:
+    """(start, end, shape, keys of equal and of similar mentions) of each mention that could be personal data."""
     out = []
     for m in _NUMBER.finditer(text):
         digits = _digits(m.group())
         if len(digits) >= 7:
             parts = re.findall("[0-9]+", m.group())
-            keys = [f"d:{digits}", *([f"d:{digits[-10:]}"] if len(digits) > 10 else [])]
+            equal, similar = _number_keys(digits)
             if len(parts) == 4 and all(len(p) <= 3 for p in parts):
-                keys.append(f"p:{'.'.join(parts)}")
-            out.append((*m.span(), f"number{min(len(digits), 20)}", keys))
+                equal.append(f"p:{'.'.join(parts)}")
+            out.append((*m.span(), f"number{min(len(digits), 20)}", (equal, similar)))
     for m in _NAME.finditer(text):
         word = m.group().rstrip(".%+-_")
         if len(word) >= 5 and any(c.isdigit() or c in "._" for c in word) and any(c.isalpha() for c in word):
             shape = "".join(sorted({"a" if c.isalpha() else "9" if c.isdigit() else c for c in word}))
-            out.append((m.start(), m.start() + len(word), f"name:{shape}", [f"n:{word.lower()}"]))
+            out.append((m.start(), m.start() + len(word), f"name:{shape}", _name_keys(word)))
     return sorted(out)
 
 
+def repeats(kind: str, value: str) -> list[tuple[str, int]]:
+    """(shape, kind of skip edge) of the forms in which an entity is mentioned again: bare, and similar."""
+    digits = _digits(value)
+    bare = {"email": value.split("@")[0], "ip": " ".join(re.findall("[0-9]+", value))}.get(kind, digits)
+    forms = [(bare, 0), (digits[-8:] if kind in ("card", "phone") else "", 1), (f"{bare}_1" if kind == "email" else "", 1)]
+    return [(found[0][2], edge) for form, edge in forms if (found := mention_keys(form)) and any(entity_keys(kind, value))]
+
+
 @dataclass
 class Field:
-    """Log potentials of the three kinds of factors."""
+    """Log potentials: of all mentions, of a mention's shape, of neighbours, and of equal and of similar mentions."""
 
+    common: np.ndarray = field(default_factory=lambda: np.zeros(5))
     unary: dict[str, np.ndarray] = field(default_factory=dict)
     chain: np.ndarray = field(default_factory=lambda: np.zeros((5, 5)))
-    skip: np.ndarray = field(default_factory=lambda: np.zeros((5, 5)))
+    skip: np.ndarray = field(default_factory=lambda: np.zeros((2, 5, 5)))
 
     @classmethod
-    def learn(cls, texts: list[str]) -> Field:
-        """Piecewise training: each factor is fitted on its own, here in closed form from smoothed counts."""
-        unary: dict[str, np.ndarray] = defaultdict(lambda: np.array([2.0, 0.5, 0.5, 0.5, 0.5]))
-        chain = np.full((5, 5), 1.0)
-        skip = np.eye(5) * 30 + 0.25
+    def learn(cls, texts: list[str], rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Field:
+        """Maximise the pseudo-likelihood, the product of each label's probability given its neighbours' labels.
+
+        An open mention that a skip edge ties to a base span has no known label: it gives no term, and counts as that span's kind where
+        it is a neighbour. All other open mentions are "other". Each base span also stands as a planted repeat in its own place, with a
+        skip edge to the span, and as a mention of that form without one, which is "other": a form alone is no evidence. The likelihood is concave; Adam climbs it with all terms at once, and ``decay`` keeps it bounded.
+        """
+        shapes: dict[str, int] = {}
+        terms: list[tuple[int, int, np.ndarray]] = []
         for text in texts:
-            nodes = graph(text)[0]
-            by_key: dict[str, int] = {}
-            for k, (_, _, shape, keys, label) in enumerate(nodes):
-                unary[shape][label] += 1
-                if k:
-                    chain[nodes[k - 1][4], label] += 1
-                for key in keys:
-                    if key in by_key:
-                        a, b = nodes[by_key[key]][4], label
-                        if a and b:  # where both are observed
-                            skip[a, b] += 1
-                            skip[b, a] += 1
-                    by_key[key] = k
-        lift = np.log(chain / chain.sum()) - np.log(chain.sum(1, keepdims=True) / chain.sum()) - np.log(chain.sum(0, keepdims=True) / chain.sum())
-        agree = np.log(skip / skip.sum(1, keepdims=True))
-        agree[0, :] = agree[:, 0] = agree[1:, 1:].min()
-        agree -= np.log(len(LABELS)) * 3
-        np.fill_diagonal(agree, 0.0)  # agreeing is no evidence in itself, so repeats alone never outweigh "other"
-        return cls({k: np.log(v / v.sum()) for k, v in unary.items()}, 0.2 * lift, agree)
-
-    def infer(self, nodes: list, edges: list[tuple[int, int]]) -> np.ndarray:
+            nodes, edges = graph(text)
+            near = np.zeros((len(nodes), 4, 5))
+            labels = [x[4] for x in nodes]
+            for a, b, _ in edges:
+                for i, j in ((a, b), (b, a)):
+                    if nodes[i][4] == 0 and nodes[j][4]:
+                        labels[i] = nodes[j][4]
+            for k in range(len(nodes) - 1):
+                near[k + 1, 0, labels[k]] += 1
+                near[k, 1, labels[k + 1]] += 1
+            for a, b, kind in edges:
+                near[a, 2 + kind, labels[b]] += 1
+                near[b, 2 + kind, labels[a]] += 1
+            for k, (begin, end, shape, _, label) in enumerate(nodes):
+                if label:
+                    for form, kind in repeats(LABELS[label], text[begin:end]):
+                        alone = near[k].copy()
+                        alone[2:] = 0
+                        tied = alone.copy()
+                        tied[2 + kind, label] = 1
+                        terms += [(shapes.setdefault(form, len(shapes)), label, tied), (shapes[form], 0, alone)]
+                elif not labels[k]:
+                    terms.append((shapes.setdefault(shape, len(shapes)), 0, near[k]))
+        if not terms:
+            return cls(common=np.array([1.0, 0, 0, 0, 0]))
+        shape, label, around = (np.array(x) for x in zip(*terms))
+        goal = np.eye(5)[label]
+        w = [np.zeros(5), np.zeros((len(shapes), 5)), np.zeros((5, 5)), np.zeros((2, 5, 5))]
+        m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+        for t in range(1, rounds + 1):
+            z = w[0] + w[1][shape] + around[:, 0] @ w[2] + around[:, 1] @ w[2].T + around[:, 2] @ w[3][0] + around[:, 3] @ w[3][1]
+            p = np.exp(z - z.max(1, keepdims=True))
+            g = (goal - p / p.sum(1, keepdims=True)) / len(terms)
+            up = [g.sum(0), np.zeros_like(w[1]), around[:, 0].T @ g + g.T @ around[:, 1], np.stack([around[:, 2 + k].T @ g for k in (0, 1)])]
+            np.add.at(up[1], shape, g)
+            up[3] = up[3] + up[3].transpose(0, 2, 1)  # a skip edge has no direction
+            for k in range(4):
+                up[k] = up[k] - decay * w[k]
+                m[k] = 0.9 * m[k] + 0.1 * up[k]
+                v[k] = 0.999 * v[k] + 0.001 * up[k] ** 2
+                w[k] = w[k] + rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        return cls(w[0], {s: w[1][k] for s, k in shapes.items()}, w[2], w[3])
+
+    def infer(self, nodes: list, edges: list[tuple[int, int, int]]) -> np.ndarray:
         """Marginals of each node by loopy belief propagation until the messages stand still; observed nodes are clamped.
 
         Each round goes half the way to the new messages. Loops can keep messages turning, so the step is halved after
         every hundred rounds, which ends any such turning.
         """
         n = len(nodes)
-        default = np.log(np.array([0.8, 0.05, 0.05, 0.05, 0.05]))
-        local = np.array([self.unary.get(x[2], default) for x in nodes])
+        local = np.array([self.common + self.unary.get(x[2], 0.0) for x in nodes])
         for k, x in enumerate(nodes):
             if x[4]:
                 local[k] = -np.inf  # no number of neighbours may outvote it
                 local[k, x[4]] = 0.0
-        links = [(k, k + 1, self.chain) for k in range(n - 1)] + [(a, b, self.skip) for a, b in edges]
+        links = [(k, k + 1, self.chain) for k in range(n - 1)] + [(a, b, self.skip[kind]) for a, b, kind in edges]
         source = np.array([x for a, b, _ in links for x in (a, b)], np.int64)
         target = np.array([x for a, b, _ in links for x in (b, a)], np.int64)
         weight = np.array([x for _, _, w in links for x in (w, w.T)]).reshape(-1, 5, 5)
@@ -190,10 +234,10 @@ class Field:
         return belief / belief.sum(1, keepdims=True)
 
 
-def graph(text: str, base: dict | None = None) -> tuple[list, list[tuple[int, int]]]:
-    """Nodes (start, end, shape, keys, observed label) and skip edges.
+def graph(text: str, base: dict | None = None) -> tuple[list, list[tuple[int, int, int]]]:
+    """Nodes (start, end, shape, keys, observed label) and skip edges (node, node, 0 for equal mentions or 1 for similar ones).
 
-    Mentions with a key in common are linked to the first observed one of each label, to the very first where none is
+    Mentions with a key in common are linked to the first observed one of each label, equal ones to the very first where none is
     observed, so evidence is one edge away however many mentions there are, and edges grow with the mentions. A mention
     inside a base span is that span's node.
     """
@@ -212,15 +256,19 @@ def graph(text: str, base: dict | None = None) -> tuple[list, list[tuple[int, in
         kind = LABELS[label]
         nodes.append((a, b, f"base:{kind}", entity_keys(kind, text[a:b]), label))
     nodes.sort()
-    members: dict[str, list[int]] = defaultdict(list)
-    for k, x in enumerate(nodes):
-        for key in dict.fromkeys(x[3]):
-            members[key].append(k)
-    edges = set()
-    for ks in members.values():
-        hubs = {nodes[k][4]: k for k in reversed(ks) if nodes[k][4]} or {0: ks[0]}
-        edges.update((min(h, k), max(h, k)) for h in hubs.values() for k in ks if k != h and not nodes[k][4])
-    return nodes, sorted(edges)
+    edges: dict[tuple[int, int], int] = {}
+    for kind in (0, 1):
+        members: dict[str, list[int]] = defaultdict(list)
+        for k, x in enumerate(nodes):
+            for key in dict.fromkeys(x[3][kind]):
+                members[key].append(k)
+        for ks in members.values():
+            hubs = {nodes[k][4]: k for k in reversed(ks) if nodes[k][4]} or ({} if kind else {0: ks[0]})
+            for h in hubs.values():
+                for k in ks:
+                    if k != h and not nodes[k][4]:
+                        edges.setdefault((min(h, k), max(h, k)), kind)
+    return nodes, sorted((a, b, kind) for (a, b), kind in edges.items())
 
 
 def spans(text: str, model: Field) -> tuple[dict, dict]:
@@ -231,7 +279,7 @@ def spans(text: str, model: Field) -> tuple[dict, dict]:
     base = base_spans(text)
     every = {k: list(v) for k, v in base.items()}
     nodes, edges = graph(text, base)
-    if any(nodes[a][4] == 0 or nodes[b][4] == 0 for a, b in edges):
+    if edges:
         best = model.infer(nodes, edges).argmax(1)
         for x, label in zip(nodes, best.tolist()):
             if x[4] == 0 and label:
@@ -277,7 +325,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: Field) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in brackets; null texts stay null."""
+    """``docs`` with every span in ``text`` replaced by its kind in brackets; null texts stay null, empty ones empty.
+
+    Where spans overlap, the one that begins first names the kind, and what the others cover beyond it goes as well.
+    Other columns are handed through.
+    """
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

@@ -450,5 +450,57 @@ def test_pii_without_base_span():
     text = "ask 4930 1234567 or again 4930 1234567 there"
     sure = pii.Field(unary={"number11": np.log([0.1, 0.1, 0.1, 0.1, 0.6])})
     assert [len(x["phone"]) for x in pii.spans(text, sure)] == [0, 2]
-    learned = pii.Field.learn(["call +4930 1234567 now"] * 20)
+    learned = pii.Field.learn(["call +4930 1234567 now, not 4930 7654321", "part 555 0001 222"] * 20)
     assert not any(pii.spans("part 555 0001 222 here. " * 30, learned)[1].values())
+    assert not any(pii.spans(text, learned)[1].values())
+
+
+def marginals_by_force(model: pii.Field, nodes: list, edges: list) -> np.ndarray:
+    """Marginals by adding up all labellings."""
+    from itertools import product
+
+    out = np.zeros((len(nodes), 5))
+    for labels in product(range(5), repeat=len(nodes)):
+        if all(not x[4] or x[4] == y for x, y in zip(nodes, labels)):
+            w = sum(0 if x[4] else (model.common + model.unary.get(x[2], 0))[y] for x, y in zip(nodes, labels))
+            w += sum(model.chain[labels[k], labels[k + 1]] for k in range(len(nodes) - 1)) + sum(model.skip[kind][labels[a], labels[b]] for a, b, kind in edges)
+            out[range(len(nodes)), labels] += np.exp(w)
+    return out / out.sum(1, keepdims=True)
+
+
+def test_pii_marginals():
+    """Message passing is exact on chains, and near to it where skip edges close loops; observed nodes keep their labels."""
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        skip = rng.normal(0, 0.7, (2, 5, 5))
+        model = pii.Field(rng.normal(0, 1, 5), {"s": rng.normal(0, 1, 5)}, rng.normal(0, 0.5, (5, 5)), skip + skip.transpose(0, 2, 1))
+        nodes = [(k, k + 1, "s" if k % 2 else "t", ([], []), 3 if k == 2 else 0) for k in range(5)]
+        assert np.allclose(model.infer(nodes, []), marginals_by_force(model, nodes, []), atol=2e-3)
+        edges = [(0, 2, 0), (2, 4, 1), (0, 4, 0)]
+        got, force = model.infer(nodes, edges), marginals_by_force(model, nodes, edges)
+        assert np.abs(got - force).max() < 0.2 and got[2, 3] == force[2, 3] == 1
+
+
+def test_pii_learning():
+    """The learned potentials give a planted repeat its kind, and similar forms too; other numbers of that shape stay other."""
+    texts = [f"call +49301234{i:03d} or id 4930888{i:04d} and j.smith{i}@mail.com. ref 12345{i:04d}" for i in range(100)]
+    model = pii.Field.learn(texts)
+    assert all(np.allclose(s, s.T) for s in model.skip) and model.skip[0][4, 4] > model.skip[0][0, 4]
+    base, every = pii.spans("call +49301234555 x 49301234555 y 01234555 z 4930777777 and ann.lee7@mail.com, ann_lee wrote", model)
+    assert [len(x["phone"]) for x in (base, every)] == [1, 3] and [len(x["email"]) for x in (base, every)] == [1, 2]
+    more = pii.Field.learn(texts, rounds=400)
+    assert all(pii.spans(t, more) == pii.spans(t, model) for t in texts)
+
+
+def test_pii_counts_and_redaction(spark, docs):
+    """Counts of each kind against the patterns; redacted texts, also long ones, hold no base span any more."""
+    model = pii.learn(docs)
+    texts = dict(TEXTS)
+    for r in pii.find(docs, model).collect():
+        if r.doc_id is not None:
+            force = [x.split(":")[0] for x in base_by_force(texts[r.doc_id]).split(",") if x]
+            assert [r[f"n_{k}"] for k in pii.KINDS] == [force.count(k) for k in pii.KINDS]
+    rows = [(1, None), (2, ""), (3, "a b@c.de, 4111 1111 1111 1111"), (4, "+49 30 1234567 " + "lorem ipsum " * 20_000 + "x.y@z.org"), (5, "a+1.2.3.4@b.cc")]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] is None and got[2] == "" and got[3] == "a [email], [card]" and got[5] == "[email]"
+    assert got[4].startswith("[phone] lorem") and got[4].endswith("ipsum [email]") and len(got[4]) == 15 + 240_000
