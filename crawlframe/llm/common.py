@@ -15,17 +15,24 @@ _BUCKET = "crawlframe"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local mode)
-    a temporary folder of this machine is taken and set as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``, or the application has set a checkpoint folder; only where neither is so
+    and the master is local (tests) a temporary folder of this machine is taken and set as the checkpoint folder.
+    On a cluster without a shared folder this is an error: rows that executors write to disks of their own would be lost.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if spark.conf.get("crawlframe.workspace.dir", None) is None:
-        own = tempfile.mkdtemp(prefix="crawlframe-")
-        spark.conf.set("crawlframe.workspace.dir", f"file://{own}")
-        spark.sparkContext.setCheckpointDir(f"file://{own}/checkpoints")
-    return spark.conf.get("crawlframe.workspace.dir").rstrip("/")
+    own = spark.conf.get("crawlframe.workspace.dir", None)
+    if own is None and context.getCheckpointDir():
+        return context.getCheckpointDir().rstrip("/")
+    if own is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if own is None:
+        own = f"file://{tempfile.mkdtemp(prefix='crawlframe-')}"
+        spark.conf.set("crawlframe.workspace.dir", own)
+        context.setCheckpointDir(f"{own}/checkpoints")
+    return own.rstrip("/")
 
 
 class Workspace:
@@ -37,6 +44,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, kind: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{_BUCKET}/{kind}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
         atexit.register(self.release)
 
     def path(self, name: str) -> str:
@@ -45,6 +53,7 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return the table that was written."""
         path = self.path(name)
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +67,11 @@ class Workspace:
         """Remove tables that no later step reads."""
         for name in names:
             self._delete(self.path(name))
+            self.names.discard(name)
+
+    def keep(self, *prefixes: str) -> None:
+        """Remove all tables but those whose names begin so."""
+        self.drop(*[n for n in sorted(self.names) if not n.startswith(prefixes)])
 
     def release(self) -> None:
         try:

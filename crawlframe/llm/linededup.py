@@ -7,7 +7,8 @@ it is named by two overlapping ranks of level floor(log2 m). A run of lines is l
 enough if it has ``min_words`` words. Every run whose interval also holds an earlier place is a copy, and
 its lines are deleted; runs that overlap or continue each other make up the maximal runs.
 
-Lines and pairs that occur once fall out of each round, so the table that goes round shrinks quickly.
+Lines and pairs that occur once fall out of each round, so the table that goes round shrinks quickly. A line, pair or passage that
+many documents share meets its rank, or its first place, in many tasks. Lines are told apart by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from crawlframe.llm.common import Workspace, only
 
 MIN_WORDS = 50
+#: A key that more than one row in so many has is heavy; there can't be more heavy keys than this.
+HEAVY = 1000
+#: Shares that rows of a heavy key are dealt out in.
+WAYS = 64
 
 
 def _ranked(keys: DataFrame, names: list[str], rank: str) -> DataFrame:
@@ -26,11 +31,28 @@ def _ranked(keys: DataFrame, names: list[str], rank: str) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, names: list[str], work: Workspace, name: str) -> DataFrame:
-    """Ranks of the values of ``names`` that occur twice or more in ``rows``."""
-    keys = rows.groupBy(*names).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    """Ranks of the values of ``names`` that occur twice or more in ``rows``, and how often."""
+    keys = rows.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1")
     return work.save(_ranked(keys, names, "rank"), name)
 
 
+def _with_rank(rows: DataFrame, ranks: DataFrame, names: list[str], total: int) -> DataFrame:
+    """``rows``, of which there are ``total`` at most, with the rank of their key; rows of a heavy key are dealt out."""
+    heavy = F.broadcast(ranks.filter(F.col("n") > total / HEAVY).select(*names, F.lit(WAYS).alias("ways")))  # HEAVY rows at most
+    ways = F.coalesce("ways", F.lit(1))
+    left = rows.join(heavy, names, "left").withColumn("share", F.pmod(F.hash("rid", "pos"), ways)).drop("ways")
+    right = ranks.join(heavy, names, "left").withColumn("share", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways", "n")
+    return left.join(right, [*names, "share"])
+
+
+def _with_first(named: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with the first place of their key, where several have it; a share of each key is aggregated on its own first."""
+    shared = named.withColumn("share", F.pmod(F.hash("rid"), F.lit(WAYS)))
+    parts = shared.groupBy(*names, "share").agg(F.min(F.struct("place", "pos")).alias("first"), F.count("*").alias("n"))
+    first = parts.groupBy(*names).agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    return shared.join(parts.select(*names, "share").join(first, names), [*names, "share"])
+
+
 def _windows(active: DataFrame, min_words: int) -> DataFrame:
     """(rid, pos, size): shortest runs with enough words that begin, or end, at each place of repeated lines.
 
@@ -63,8 +85,9 @@ def repeats(lines: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> Da
     ``place`` orders documents. A stretch is a union of runs with at least ``min_words`` words whose lines also
     stand, in the same order, at an earlier place; copies may overlap their originals.
     """
+    total = lines.count()
     names = _repeated(lines, ["h1", "h2"], work, "names")
-    marked = lines.join(names, ["h1", "h2"]).select("rid", "place", "pos", "words", "rank")
+    marked = _with_rank(lines, names, ["h1", "h2"], total).select("rid", "place", "pos", "words", "rank")
     in_doc = Window.partitionBy("rid").orderBy("pos")
     active = marked.withColumn("run", F.col("pos") - F.row_number().over(in_doc))
     active = work.save(active, "active")
@@ -75,14 +98,13 @@ def repeats(lines: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> Da
         own = windows.filter((F.col("size") >= size) & (F.col("size") < 2 * size))
         second = ranks.select("rid", F.col("pos").alias("pos2"), F.col("rank").alias("rank2"))
         named = own.withColumn("pos2", F.col("pos") + F.col("size") - size).join(ranks, ["rid", "pos"]).join(second, ["rid", "pos2"])
-        first = named.groupBy("size", "rank", "rank2").agg(F.min(F.struct("place", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        later = named.join(first, ["size", "rank", "rank2"]).filter(F.struct("place", "pos") != F.col("first"))
+        later = _with_first(named, ["size", "rank", "rank2"]).filter(F.struct("place", "pos") != F.col("first"))
         copies.append(work.save(later.select("rid", F.col("pos").alias("begin"), (F.col("pos") + F.col("size")).alias("end")), f"copies{level}"))
         if 2 * size <= longest:
             pairs = ranks.withColumnRenamed("rank", "a").join(ranks.select("rid", (F.col("pos") - size).alias("pos"), F.col("rank").alias("b")), ["rid", "pos"])
             pairs = work.save(pairs, f"pairs{level}")
             found = _repeated(pairs, ["a", "b"], work, f"ranks{level}")
-            ranks = work.save(pairs.join(found, ["a", "b"]).select("rid", "pos", "rank"), f"level{level + 1}")
+            ranks = work.save(_with_rank(pairs, found, ["a", "b"], total).select("rid", "pos", "rank"), f"level{level + 1}")
         size, level = 2 * size, level + 1
     if not copies:
         return windows.select("rid", F.col("pos").alias("begin"), F.col("pos").alias("end")).limit(0)
@@ -116,6 +138,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     split = numbered.filter("text is not null").select(F.col("_rid").alias("rid"), place.alias("place"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = split.select("rid", "place", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(r"\S+")).cast("long").alias("words"))
     stretches = repeats(work.save(lines, "lines"), work, min_words)
+    work.keep("documents", "windows", "copies")
     cuts = stretches.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("cuts"), F.sum(F.col("end") - F.col("begin")).alias("_removed"))
     found = numbered.join(cuts.withColumnRenamed("rid", "_rid"), "_rid", "left")
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.expr(_KEPT))

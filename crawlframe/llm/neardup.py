@@ -296,6 +296,7 @@ def cluster(docs: DataFrame, rule: Rule = Rule(), work: Workspace | None = None)
     named = classes.select("digest", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     verdict = work.save(named.join(smallest, "root").select("digest", "component_id"), "verdict")
+    work.keep("profile", "verdict")
     result = full.select("doc_id", "n", "digest", F.pmod(F.hash("rid"), F.lit(64)).alias("salt"))
     cells = result.select("digest", "salt").distinct().join(verdict, "digest")  # rows of a class meet its verdict in shares
     result = result.join(cells, ["digest", "salt"]).select("doc_id", "n", "component_id")
