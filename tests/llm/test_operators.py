@@ -51,11 +51,10 @@ def removed_by_force(docs: list[tuple[int, str]], least: int) -> dict[int, list[
         lines = text.split("\n")
         size = [len(x.split()) for x in lines]
         for b in range(len(lines)):
-            words = 0
+            words, run = 0, 0
             for e in range(b, len(lines)):
-                words += size[e]
+                words, run = words + size[e], hash((run, lines[e]))
                 if words >= least:
-                    run = tuple(lines[b : e + 1])
                     if run in seen:
                         gone[doc] |= set(range(b, e + 1))
                     seen.add(run)
