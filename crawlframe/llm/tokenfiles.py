@@ -208,17 +208,17 @@ def _read(spark: SparkSession, source: str, columns: str, values) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
-            for base, keys, ends, data in zip(pdf["base"], pdf["doc_ids"], pdf["ends"], pdf["codes"]):
+            for file, before, keys, ends, data in zip(pdf["file"], pdf["before"], pdf["doc_ids"], pdf["ends"], pdf["codes"]):
                 codes, begins = Codes(data), np.append(0, ends[:-1])
                 found = [values(codes, a, b) for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pd.DataFrame({"doc_id": keys, "start": base + begins, "n_tokens": ends - begins} | {name: [f[k] for f in found] for k, name in enumerate(names)})
+                yield pd.DataFrame({"file": file, "doc_id": keys, "place": before + begins, "n_tokens": ends - begins} | {name: [f[k] for f in found] for k, name in enumerate(names)})
 
     blocks, kind = _blocks(spark, source)
     files = blocks.groupBy("file").agg(F.max(F.col("before") + F.element_at("ends", -1)).alias("size"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # two numbers for each file
     files = files.select("file", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
-    based = blocks.join(files, "file").select((F.col("start") + F.col("before")).alias("base"), "doc_ids", "ends", "codes")
-    return based.mapInPandas(run, f"doc_id string, start long, n_tokens long, {columns}").withColumn("doc_id", F.col("doc_id").cast(kind))
+    found = blocks.select("file", "before", "doc_ids", "ends", "codes").mapInPandas(run, f"file int, doc_id string, place long, n_tokens long, {columns}")
+    return found.join(files, "file").select(F.col("doc_id").cast(kind).alias("doc_id"), (F.col("start") + F.col("place")).alias("start"), "n_tokens", *names)
 
 
 def tokens(spark: SparkSession, source: str, doc_id, begin: int, end: int | None = None) -> list[int]:
