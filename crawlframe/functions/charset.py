@@ -39,9 +39,35 @@ def resolve_alias(name: Column | str) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for item in known.items() for x in item]), F.lower(_c(name)))
 
 
-def guess(header: Column | str, html: Column | str, default: str = "utf-8") -> Column:
-    """First clue that is known: of the header, then of the page; else the default. In lower case."""
-    clue = F.coalesce(resolve_alias(content_type_charset(header)), resolve_alias(sniff(html)), F.lit(default))
+def detect(content: Column | str) -> Column:
+    """struct(charset, confidence) that the bytes tell, confidence from 0 to 100; null where they tell nothing.
+
+    A byte-order mark is sure. Bytes above ASCII that make up valid UTF-8 seldom do so by chance: each sequence of them halves the
+    doubt. Plain ASCII fits nearly every encoding and is no clue.
+    """
+    b = _c(content)
+    first = F.hex(F.substring(b, 1, 3))
+    text = F.try_validate_utf8(b.cast("string"))
+    high = F.regexp_count(text, F.lit(r"[^\x00-\x7F]+"))
+    clue = lambda name, sure: F.struct(F.lit(name).alias("charset"), F.lit(sure).cast("double").alias("confidence") if isinstance(sure, int) else sure.alias("confidence"))
+    return (
+        F.when(first == "EFBBBF", clue("UTF-8", 100))
+        .when(first.startswith("FFFE"), clue("UTF-16LE", 100))
+        .when(first.startswith("FEFF"), clue("UTF-16BE", 100))
+        .when(high > 0, clue("UTF-8", 100 - 100 * F.pow(F.lit(2.0), -high)))
+    )
+
+
+def guess(header: Column | str, html: Column | str, default: str = "utf-8", content: Column | str | None = None, min_confidence: int = -1) -> Column:
+    """First clue that is known: of the bytes, of the header, then of the page; else the default. In lower case.
+
+    The bytes are asked only with a ``min_confidence`` of 0 or more, and count only if they are as sure as that.
+    """
+    bytes_ = F.lit(None).cast("string")
+    if content is not None and min_confidence >= 0:
+        found = detect(content)
+        bytes_ = F.when(found["confidence"] >= min_confidence, found["charset"])
+    clue = F.coalesce(bytes_, resolve_alias(content_type_charset(header)), resolve_alias(sniff(html)), F.lit(default))
     return F.lower(clue)
 
 

@@ -127,20 +127,30 @@ def choose_repr(src: Column | str, dst: Column | str, temporary: Column, suffixe
     )
 
 
+def remove_dots(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments; what goes above the root stays at the root."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    empty = F.array().cast("array<string>")
+    fold = F.aggregate(parts, empty, lambda kept, p: F.when(p == ".", kept).when((p == "..") & (F.size(kept) > 0), F.slice(kept, F.lit(1), F.size(kept) - 1)).when(p == "..", kept).otherwise(F.concat(kept, F.array(p))))
+    folder = F.element_at(parts, -1).isin(".", "..")
+    inner = F.array_join(fold, "/")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), inner, F.when(folder & (inner != ""), "/").otherwise(""))).otherwise(path)
+
+
 def resolve(base: Column | str, href: Column | str) -> Column:
     """``href`` against ``base``: absolute, scheme-relative, root-relative, query, and relative to the folder of the base."""
     b, h = _c(base), F.trim(_c(href))
+    file, rest = F.regexp_extract(h, r"(?s)^([^?#]*)", 1), F.regexp_extract(h, r"(?s)^[^?#]*(.*)", 1)
     origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
     scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+([^?#]*)", 1)
     folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
-    joined = F.concat(folder, h)
     return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
         .when(h.startswith("//"), F.concat(scheme, h))
-        .when(h.startswith("/"), F.concat(origin, h))
+        .when(h.startswith("/"), F.concat(origin, remove_dots(file), rest))
         .when(h == "", b)
         .when(h.startswith("#"), F.concat(F.regexp_replace(b, r"(?s)#.*$", ""), h))
         .when(h.startswith("?"), F.concat(origin, path, h))
-        .otherwise(F.concat(origin, clean_path(F.regexp_replace(joined, r"/(\./)+", "/"))))
+        .otherwise(F.concat(origin, remove_dots(F.concat(folder, file)), rest))
     )

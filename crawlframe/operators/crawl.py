@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +41,11 @@ class Crawl:
         with self.store.lock(force):
             state = self.store.read()
             chosen = generate.stamp(generate.segments(generate.select(state, self.config), self.config, seed), self.config)
-            batch = f"{self.config.now_ms:013d}"
-            all_ = self.segments.write(chosen, f".new-{batch}", "crawl_generate")
-            made = []
-            for n in sorted(r[0] for r in all_.select("segment_no").distinct().collect()):
-                name = f"{batch}-{n:04d}"
-                self.segments.write(all_.filter(F.col("segment_no") == n), name, "crawl_generate")
+            made = self.segments.deal(generate.fetch_lists(chosen), "segment_no", f"{self.config.now_ms:013d}", "crawl_generate")
+            for name in made:
                 self.segments.mark(name, "generated")
-                made.append(name)
             if made:
-                self.store.install(generate.write_back(state, all_, self.config))
-            self.segments.files.delete(f"{self.segments.root}/.new-{batch}")
+                self.store.install(generate.write_back(state, self.segments.inputs("crawl_generate", made, chosen.schema)[0], self.config))
         return made
 
     def fetch(self, segment: str, fetcher: Callable | None = None, pages: DataFrame | None = None) -> None:
@@ -74,17 +69,17 @@ class Crawl:
     def update(self, segments: list[str], force: bool = False) -> list[str]:
         """Merge segments into the state; returns those that had no parsed links."""
         with self.store.lock(force):
-            fetched, _ = self.segments.inputs("crawl_fetch", segments)
-            linked, without = self.segments.inputs("crawl_parse", segments)
+            fetched, _ = self.segments.inputs("crawl_fetch", segments, S.CRAWL_DATUM)
+            linked, without = self.segments.inputs("crawl_parse", segments, S.CRAWL_DATUM)
             none = self.spark.createDataFrame([], S.CRAWL_DATUM)
             merged = update.update(self.store.read(), fetched if fetched is not None else none, linked if linked is not None else none, self.config)
             self.store.install(self._conform(merged))
         return without
 
-    def run(self, fetcher: Callable | None = None, pages: DataFrame | None = None, most_rounds: int = 100) -> int:
+    def run(self, fetcher: Callable | None = None, pages: DataFrame | None = None, most_rounds: int | None = None) -> int:
         """Rounds until nothing is due. The clock goes on by the lock's length each round, so failed urls come again."""
-        for n in range(most_rounds):
-            made = self.generate()
+        for n in count():
+            made = self.generate() if n != most_rounds else []
             if not made:
                 return n
             for segment in made:
@@ -92,7 +87,6 @@ class Crawl:
                 self.parse(segment)
             self.update(made)
             self.config = replace(self.config, now_ms=self.config.now_ms + self.config.lock_days * DAY_MS)
-        return most_rounds
 
     def app_info(self) -> DataFrame | None:
         return self.segments.inputs("app_info")[0]

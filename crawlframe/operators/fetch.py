@@ -1,18 +1,18 @@
 """Fetching: a pluggable fetcher runs in threads inside each task, and one table holds what it brought.
 
-Rows of a fetch list stay together in a task (or, with ``by_host``, rows of a host, so that waiting between requests to a host is
-right across the cluster). The table is written before it is split, so no page is requested twice.
+Rows of a fetch list stay together in a task (or, with ``by_host`` and for polite fetchers, rows of a host, so that waiting between requests
+to a host is right across the cluster). The table is written before it is split, so no page is requested twice.
 """
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as Late
 from dataclasses import dataclass, field
 from email.utils import formatdate
 from urllib.parse import urlsplit
@@ -88,6 +88,11 @@ class HttpFetcher:
         return Response(answer.status, self._body(raw, (answer.headers.get("Content-Encoding") or "").lower()), headers)
 
 
+#: Bodies of so many bytes are handed on at once.
+FLUSH_BYTES = 64 << 20
+_HOSTS = threading.Lock()
+
+
 @dataclass
 class Polite:
     """Waits ``delay_s`` between requests to a host, ``max_waits`` times at most; the host is then blocked (503)."""
@@ -104,11 +109,14 @@ class Polite:
     def __call__(self, url: str, modified_ms: int = 0) -> Response:
         key = urlsplit(url).hostname or ""
         for _ in range(self.max_waits + 1):
-            now = self.clock()
-            if self._next.get(key, 0.0) <= now:
-                self._next[key] = now + self.delay_s
+            with _HOSTS:  # threads of a task share the times
+                now = self.clock()
+                free = self._next.get(key, 0.0)
+                if free <= now:
+                    self._next[key] = now + self.delay_s
+            if free <= now:
                 return self.inner(url, modified_ms)
-            self.sleep(self._next[key] - now)
+            self.sleep(free - now)
         return Response(503, None, {}, "blocked")
 
 
@@ -128,7 +136,27 @@ PROTOCOLS: dict[str, Callable[..., Fetcher]] = {"http": HttpFetcher, "https": Ht
 
 
 def protocol(url: str) -> Callable[..., Fetcher]:
-    return PROTOCOLS[urlsplit(url).scheme.lower()]
+    """The fetcher for a url's scheme; ValueError if none is known."""
+    scheme = urlsplit(url).scheme.lower()
+    if scheme not in PROTOCOLS:
+        raise ValueError(f"no protocol for {url!r}")
+    return PROTOCOLS[scheme]
+
+
+@dataclass
+class ByProtocol:
+    """Hands each url to the fetcher of its scheme, made on first use; a url of an unknown scheme is an error of its row."""
+
+    settings: dict[str, dict] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self._made: dict[str, Fetcher] = {}
+
+    def __call__(self, url: str, modified_ms: int = 0) -> Response:
+        scheme = urlsplit(url).scheme.lower()
+        if scheme not in self._made:
+            self._made[scheme] = protocol(url)(**self.settings.get(scheme, {}))
+        return self._made[scheme](url, modified_ms)
 
 
 _GOT = "code int, body binary, headers map<string,array<string>>, message string"
@@ -141,10 +169,39 @@ def _one(fetcher: Fetcher, url: str, modified: int) -> Response:
         return Response(None, None, {}, f"{type(e).__name__}: {e}")
 
 
-def fetch(rows: DataFrame, fetcher: Fetcher, config: CrawlConfig = CrawlConfig(), by_host: bool = False) -> DataFrame:
+def _threaded(jobs, fetcher: Fetcher, threads: int, limit: float):
+    """(job, response) of each (job, url, modified), as they end; at most ``threads`` requests that still count run at a time.
+
+    A request's time runs from its start. One that takes longer than ``limit`` seconds is given up: its thread can't be
+    stopped, but holds no place any more, so rows after it go on.
+    """
+    done: queue.SimpleQueue = queue.SimpleQueue()
+    started: dict[int, tuple[object, float]] = {}
+    waiting, number = iter(jobs), 0
+    while True:
+        while len(started) < threads and (job := next(waiting, None)) is not None:
+            key, url, modified = job
+            number += 1
+            started[number] = (key, time.monotonic() + limit)
+            threading.Thread(target=lambda n=number, u=url, m=modified: done.put((n, _one(fetcher, u, m))), daemon=True).start()
+        if not started:
+            return
+        try:
+            n, response = done.get(timeout=max(0.0, min(t for _, t in started.values()) - time.monotonic()))
+            if n in started:  # else it was given up
+                yield started.pop(n)[0], response
+        except queue.Empty:
+            now = time.monotonic()
+            for n in [n for n, (_, t) in started.items() if t <= now]:
+                yield started.pop(n)[0], Response(None, None, {}, "timeout")
+
+
+def fetch(rows: DataFrame, fetcher: Fetcher, config: CrawlConfig = CrawlConfig(), by_host: bool | None = None) -> DataFrame:
     """``rows`` with code, body, headers and message of each url's response.
 
-    A request that takes longer than ``fetch_timeout_s`` counts as an error. Write the result before it is used twice.
+    A request that takes longer than ``fetch_timeout_s`` counts as an error. Rows of a host go to one task with ``by_host``, which is so
+    where none is given and the fetcher is polite; else a fetch list is a task. Bodies are handed on once they
+    reach ``FLUSH_BYTES``. Write the result before it is used twice.
     """
     threads, limit = config.fetch_threads, config.fetch_timeout_s
 
@@ -152,27 +209,29 @@ def fetch(rows: DataFrame, fetcher: Fetcher, config: CrawlConfig = CrawlConfig()
         import pyarrow as pa
 
         kinds = [("code", pa.int32()), ("body", pa.binary()), ("headers", pa.map_(pa.string(), pa.list_(pa.string()))), ("message", pa.string())]
-        pool = ThreadPoolExecutor(threads)
-        try:
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                jobs = [pool.submit(_one, fetcher, u, m or 0) for u, m in zip(table["url"].to_pylist(), table["_modified"].to_pylist())]
-                got = []
-                for job in jobs:
-                    try:
-                        got.append(job.result(timeout=limit))
-                    except Late:
-                        job.cancel()
-                        got.append(Response(None, None, {}, "timeout"))
-                values = [[r.code for r in got], [r.body for r in got], [list(r.headers.items()) for r in got], [r.message for r in got]]
-                table = table.drop_columns(["_modified"])
-                for (name, kind), value in zip(kinds, values):
-                    table = table.append_column(name, pa.array(value, kind))
-                yield from table.to_batches()
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
-
-    keys = [host("url")] if by_host or "fetch_list" not in rows.columns else ["segment_no", "fetch_list"]
+
+        def table(batch, got):
+            part = pa.Table.from_batches([batch]).drop_columns(["_modified"]).take([k for k, _ in got])
+            answers = [r for _, r in got]
+            values = [[r.code for r in answers], [r.body for r in answers], [list(r.headers.items()) for r in answers], [r.message for r in answers]]
+            for (name, kind), value in zip(kinds, values):
+                part = part.append_column(name, pa.array(value, kind))
+            return part.combine_chunks().to_batches()
+
+        for batch in batches:
+            jobs = zip(range(batch.num_rows), batch["url"].to_pylist(), (m or 0 for m in batch["_modified"].to_pylist()))
+            got, size = [], 0
+            for k, response in _threaded(jobs, fetcher, threads, limit):
+                got.append((k, response))
+                size += len(response.body or b"")
+                if size >= FLUSH_BYTES:
+                    yield from table(batch, got)
+                    got, size = [], 0
+            if got:
+                yield from table(batch, got)
+
+    together = isinstance(fetcher, Polite) if by_host is None else by_host
+    keys = [host("url")] if together or "fetch_list" not in rows.columns else ["segment_no", "fetch_list"]
     modified = F.col("modified_time") if "modified_time" in rows.columns else F.lit(0)
     dealt = rows.repartition(*keys)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

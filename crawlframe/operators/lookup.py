@@ -78,6 +78,6 @@ def hash_facts(df: DataFrame, key: str = "url", order: str = "seq") -> DataFrame
 
 
 def text_record(df: DataFrame, number: int, key: str = "url") -> DataFrame:
-    """The record of a number, from 0, in the order of keys."""
-    ordered = Window.partitionBy("segment").orderBy(key)
-    return df.withColumn("_n", F.row_number().over(ordered) - 1).filter(F.col("_n") == number).drop("_n")
+    """The record of a number, from 0, in the order of keys of each segment; tasks hand on the ``number`` + 1 first rows of each."""
+    place = F.row_number().over(Window.partitionBy("segment").orderBy(key))
+    return df.withColumn("_n", place).filter(F.col("_n") <= number + 1).filter(F.col("_n") == number + 1).drop("_n")

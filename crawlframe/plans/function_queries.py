@@ -8,6 +8,7 @@ from crawlframe.functions import html, text, url
 from crawlframe.operators.update import filter_urls
 from crawlframe.plans import fixtures as X
 from crawlframe.plans.registry import query
+from crawlframe.sources import suffixes
 
 SUFFIXES = ("com", "net", "org")
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
@@ -60,6 +61,27 @@ def url_domain_suffix(spark, sf_dir):
     return X.table(spark, sf_dir, "pages").select("page_id", url.domain_suffix("url", SUFFIXES).alias("suffix"))
 
 
+_RECORDS = """<domains><tlds>
+<itlds><tld domain="arpa"><status>INFRASTRUCTURE</status></tld></itlds>
+<gtlds><tld domain="com"><status>UNSPONSORED</status><boost>1.5</boost></tld><tld domain="org"/></gtlds>
+<cctlds><tld domain="uk"><country>United Kingdom</country></tld></cctlds>
+</tlds><suffixes><suffix domain="co.uk"/></suffixes></domains>"""
+
+
+@query("""with hosts as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages),
+urls as (select page_id, 'http://' || host || '/' as url, host from hosts union all select -page_id - 1, 'http://www.' || replace(host, '.', '-') || '.co.uk/', '.co.uk' from hosts union all select null, 'http://10.0.0.1/', '')
+select page_id, r.domain, r.status, r.boost, r.type, r.country from urls left join (values ('.co.uk', 'co.uk', 'IN_USE', 1.0::double, null, null), ('.com', 'com', 'UNSPONSORED', 1.5::double, 'GENERIC', null),
+  ('.org', 'org', 'IN_USE', 1.0::double, 'GENERIC', null)) as r(ending, domain, status, boost, type, country) on ends_with(host, ending)""")
+def url_suffix_record(spark, sf_dir):
+    """Record of the longest known suffix, from a table that was read from XML, by a join over the hosts."""
+    table = spark.createDataFrame(suffixes.parse(_RECORDS), suffixes.SCHEMA)
+    hosts = X.table(spark, sf_dir, "pages").select("page_id", url.host("url").alias("host"))
+    rows = hosts.select("page_id", F.concat(F.lit("http://"), "host", F.lit("/")).alias("url"))
+    other = hosts.select((-F.col("page_id") - 1).alias("page_id"), F.concat(F.lit("http://www."), F.replace("host", F.lit("."), F.lit("-")), F.lit(".co.uk/")).alias("url"))
+    rows = rows.unionByName(other).unionByName(spark.createDataFrame([(None, "http://10.0.0.1/")], "page_id long, url string"))
+    return suffixes.with_suffix(rows, table).select("page_id", "suffix.*")
+
+
 _PAIRS = "a.page_id, a.url as src, b.url as dst from pages a join pages b on b.page_id = a.page_id + 1"
 
 

@@ -1,12 +1,14 @@
 """Storage of a crawl: snapshots with a pointer, segments, a lock, and writes to several sinks.
 
 All paths go through Hadoop's file systems, so local folders and object stores work alike. A snapshot is a new
-folder; it counts once the pointer file names it, so a job that fails leaves the old state in force.
+folder; it counts once a pointer file with the next number names it. Pointers are never replaced, so whenever a job ends, the
+old state or the new one is in force.
 """
 
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -54,6 +56,10 @@ class Files:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def make(self, path: str) -> None:
+        fs, p = self.at(path)
+        fs.mkdirs(p)
+
     def read(self, path: str) -> str:
         fs, p = self.at(path)
         stream = fs.open(p)
@@ -71,13 +77,16 @@ class Files:
 
 
 @contextmanager
-def lock(spark: SparkSession, path: str, force: bool = False) -> Iterator[None]:
-    """Hold a lock file; ``force`` takes one that is held. It is given back however the block ends."""
+def lock(spark: SparkSession, path: str, force: bool = False, wait_s: float = 0.0) -> Iterator[None]:
+    """Hold a lock file; ``force`` takes one that is held, and ``wait_s`` waits for it. It is given back however the block ends."""
     files = Files(spark)
     if files.is_dir(path):
         raise Locked(f"{path} is a folder")
-    if files.exists(path) and not force:
-        raise Locked(f"{path} is held")
+    until = time.monotonic() + wait_s
+    while files.exists(path) and not force:
+        if time.monotonic() >= until:
+            raise Locked(f"{path} is held")
+        time.sleep(0.2)
     try:
         files.create(path, "", overwrite=force)
     except Exception as e:
@@ -108,17 +117,17 @@ def replace_dir(spark: SparkSession, current: str, replacement: str, keep_old: b
 
 
 class StateStore:
-    """Snapshots of a state table below a folder; ``CURRENT`` names the one in force."""
+    """Snapshots of a state table below a folder; the pointer with the greatest number names the one in force."""
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema, self.files = spark, root.rstrip("/"), schema, Files(spark)
 
-    @property
-    def _pointer(self) -> str:
-        return f"{self.root}/CURRENT"
+    def _pointers(self) -> list[str]:
+        return [n for n in self.files.children(f"{self.root}/pointers") if n.isdigit()]
 
     def current(self) -> str | None:
-        return f"{self.root}/snapshots/{self.files.read(self._pointer).strip()}" if self.files.exists(self._pointer) else None
+        pointers = self._pointers()
+        return f"{self.root}/snapshots/{self.files.read(f'{self.root}/pointers/{pointers[-1]}').strip()}" if pointers else None
 
     def read(self) -> DataFrame:
         """The state in force; an empty table before the first install."""
@@ -127,20 +136,31 @@ class StateStore:
 
     def install(self, df: DataFrame, keep: int = 1) -> str:
         """Write a snapshot, and let the pointer name it; the ``keep`` last ones stay."""
-        name = f"{len(self.files.children(f'{self.root}/snapshots')):08d}-{uuid.uuid4().hex[:8]}"
+        pointers = self._pointers()
+        number = f"{int(pointers[-1]) + 1 if pointers else 0:012d}"
+        name = f"{number}-{uuid.uuid4().hex[:8]}"
         df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.root}/snapshots/{name}")
-        before = self.current()
-        self.files.create(f"{self._pointer}.new", name)
-        self.files.delete(self._pointer)
-        self.files.rename(f"{self._pointer}.new", self._pointer)
-        spare = {name} | ({before.rpartition("/")[2]} if before and keep else set())
+        if self._pointers() != pointers:
+            raise Locked(f"{self.root} got another snapshot meanwhile")
+        self._publish(number, name)
+        old = pointers[-keep:] if keep else []
+        spare = {name, *(self.files.read(f"{self.root}/pointers/{p}").strip() for p in old)}
+        for p in pointers:
+            if p not in old:
+                self.files.delete(f"{self.root}/pointers/{p}")
         for other in self.files.children(f"{self.root}/snapshots", True):
             if other not in spare:
                 self.files.delete(f"{self.root}/snapshots/{other}")
         return name
 
-    def lock(self, force: bool = False):
-        return lock(self.spark, f"{self.root}/.locked", force)
+    def _publish(self, number: str, name: str) -> None:
+        """Put the snapshot in force: a file that is complete gets its name at once."""
+        draft = f"{self.root}/pointers/.{number}-{uuid.uuid4().hex[:8]}"
+        self.files.create(draft, name)
+        self.files.rename(draft, f"{self.root}/pointers/{number}")
+
+    def lock(self, force: bool = False, wait_s: float = 0.0):
+        return lock(self.spark, f"{self.root}/.locked", force, wait_s)
 
 
 PARTS = ("crawl_generate", "crawl_fetch", "content", "crawl_parse", "app_info")
@@ -153,7 +173,7 @@ class Segments:
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
     def names(self) -> list[str]:
-        return self.files.children(self.root, True)
+        return [n for n in self.files.children(self.root, True) if not n.startswith(".")]
 
     def path(self, segment: str, part: str) -> str:
         return f"{self.root}/{segment}/{part}"
@@ -175,15 +195,27 @@ class Segments:
     def marked(self, segment: str, name: str) -> bool:
         return self.files.exists(f"{self.root}/{segment}/{name}")
 
-    def inputs(self, part: str, segments: list[str] | None = None) -> tuple[DataFrame | None, list[str]]:
-        """(union of a part over segments, segments without it)."""
+    def deal(self, df: DataFrame, number: str, prefix: str, part: str) -> list[str]:
+        """Write a part of many segments at once, of rows with a segment's ``number``; names of the segments, in order.
+
+        One job writes a folder for each number, and the folders are then moved to their segments, however many there are.
+        """
+        batch = f"{self.root}/.new-{uuid.uuid4().hex[:12]}"
+        df.withColumn("_segment", F.col(number)).write.option("compression", "zstd").partitionBy("_segment").parquet(batch)
+        made = []
+        for n in sorted(int(c.partition("=")[2]) for c in self.files.children(batch, True) if c.startswith("_segment=")):
+            made.append(f"{prefix}-{n:04d}")
+            self.files.make(f"{self.root}/{made[-1]}")
+            self.files.rename(f"{batch}/_segment={n}", self.path(made[-1], part))
+        self.files.delete(batch)
+        return made
+
+    def inputs(self, part: str, segments: list[str] | None = None, schema: T.StructType | None = None) -> tuple[DataFrame | None, list[str]]:
+        """(a part of all segments, by one scan, segments without it); with a ``schema`` no file is opened to find it."""
         names = self.names() if segments is None else segments
         there = [s for s in names if self.has(s, part)]
-        frames = [self.read(s, part) for s in there]
-        union = None
-        for f in frames:
-            union = f if union is None else union.unionByName(f, True)
-        return union, [s for s in names if s not in there]
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read.option("mergeSchema", True)
+        return reader.parquet(*[self.path(s, part) for s in there]) if there else None, [s for s in names if s not in there]
 
 
 _NAME = re.compile(r"[A-Za-z0-9]+")

@@ -112,6 +112,67 @@ def test_fetch_once_and_errors(spark):
     assert fetch.fetch(rows.filter("false"), answer).count() == 0
 
 
+def test_stuck_requests_hold_no_place(spark, monkeypatch):
+    """More stuck urls than threads: the rest is still fetched, and time runs from each request's start."""
+    import time
+
+    def answer(u, modified):
+        time.sleep(30 if "stuck" in u else 0.05)
+        return fetch.Response(200, b"x" * 1000)
+
+    rows = spark.createDataFrame([(f"http://a/stuck{i}",) for i in range(6)] + [(f"http://a/{i}",) for i in range(30)], "url string").coalesce(1)
+    began = time.monotonic()
+    got = fetch.fetch(rows, answer, CrawlConfig(fetch_threads=3, fetch_timeout_s=1.0)).collect()
+    assert sorted((r.message == "timeout", r.code) for r in got if "stuck" in r.url) == [(True, None)] * 6
+    assert sum(r.code == 200 for r in got) == 30 and len(got) == 36 and time.monotonic() - began < 25
+    monkeypatch.setattr(fetch, "FLUSH_BYTES", 1500)
+    jobs = [(k, f"http://a/{k}", 0) for k in range(5)]
+    assert sorted(k for k, _ in fetch._threaded(jobs, answer, 2, 5.0)) == list(range(5))
+
+
+def test_http_fetcher_against_local_server():
+    """Status, headers, packed bodies, the body limit, redirects, and conditional requests."""
+    import gzip
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/moved":
+                self.send_response(301)
+                self.send_header("Location", "/page")
+                self.end_headers()
+            elif self.headers.get("If-Modified-Since"):
+                self.send_response(304)
+                self.end_headers()
+            elif self.path == "/none":
+                self.send_error(404)
+            else:
+                body = gzip.compress(b"hello " * 100)
+                self.send_response(200)
+                self.send_header("Content-Encoding", "gzip")
+                self.send_header("X-Agent", self.headers["User-Agent"])
+                self.end_headers()
+                self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        plain = fetch.HttpFetcher(agent="me/1")
+        assert plain(f"{base}/page").body == b"hello " * 100 and plain(f"{base}/page").headers["X-Agent"] == ["me/1"]
+        assert plain(f"{base}/moved").code == 200 and fetch.HttpFetcher(follow_redirects=False)(f"{base}/moved").code == 301
+        assert plain(f"{base}/none").code == 404 and plain(f"{base}/page", 1_700_000_000_000).code == 304
+        assert fetch.ByProtocol({"http": {"content_limit": 40}})(f"{base}/page").body == (b"hello " * 100)[:40]
+        with pytest.raises(ValueError):
+            fetch.ByProtocol()("gopher://a/")
+    finally:
+        server.shutdown()
+
+
 def test_polite_waits_by_host():
     now, slept = [0.0], []
 
@@ -144,6 +205,63 @@ def test_html_and_charset_edges(spark):
     assert [r[0] for r in df.select(charset.decode("b", "c")).collect()] == ["漢字", "a�", None]
 
 
+def test_state_survives_crashes(spark, tmp_path, monkeypatch):
+    """A job that ends before or while a snapshot is put in force leaves the old state; leftovers go with the next install."""
+    kept = store.StateStore(spark, f"file://{tmp_path}/s", spark.range(1).schema)
+    kept.install(spark.range(3))
+
+    def crash(*args):
+        raise OSError("gone")
+
+    for step in ("create", "rename"):
+        with monkeypatch.context() as m:
+            m.setattr(store.Files, step, crash)
+            with pytest.raises(OSError):
+                kept.install(spark.range(5))
+        assert store.StateStore(spark, kept.root, kept.schema).read().count() == 3
+    kept.install(spark.range(7))
+    assert kept.read().count() == 7
+    kept.install(spark.range(8))
+    assert len(kept.files.children(f"{kept.root}/snapshots", True)) == 2 and len(kept._pointers()) == 2
+    with kept.lock(), pytest.raises(store.Locked), kept.lock(wait_s=0.3):
+        pass
+
+
+def test_crawl_goes_on_to_the_end(spark, tmp_path):
+    """A chain of pages deeper than a few rounds is fetched to its end; a link to nowhere ends as gone."""
+    from crawlframe.operators.crawl import Crawl
+
+    page = "<html><body><a href='/{}'>next</a></body></html>"
+    pages = spark.createDataFrame([(f"http://a.com/{i}", page.format(i + 1)) for i in range(5)], "url string, content string")
+    crawl = Crawl(spark, f"file://{tmp_path}/c", CrawlConfig(increment_retries=True))
+    crawl.inject(spark.createDataFrame([("http://a.com/0\tparse_class=article",)], "line string"))
+    assert crawl.run(pages=pages) == 6
+    assert {(r.url[-1], r.status) for r in crawl.store.read().collect()} == {*((str(i), 2) for i in range(5)), ("5", 3)}
+
+
+def test_suffix_table(spark, tmp_path):
+    from crawlframe.sources import suffixes
+
+    (tmp_path / "s.xml").write_text("<d><tlds><gtlds><tld domain='com'/></gtlds></tlds><suffixes><suffix domain='a.com'><boost>2</boost></suffix><suffix domain='com'/></suffixes></d>")
+    table = suffixes.load(spark, f"file://{tmp_path}/s.xml")
+    assert {tuple(r) for r in table.collect()} == {("com", "IN_USE", 1.0, "GENERIC", None), ("a.com", "IN_USE", 2.0, None, None)}
+    rows = spark.createDataFrame([("http://x.a.com/",), ("http://com./",), ("http://1.2.3.4/",), ("bad",), (None,)], "url string")
+    assert {(r.url, r.suffix and r.suffix.domain) for r in suffixes.with_suffix(rows, table).collect()} == {("http://x.a.com/", "a.com"), ("http://com./", "com"), ("http://1.2.3.4/", None), ("bad", None), (None, None)}
+    for bad in ("<d><cctlds><tld domain='uk'/></cctlds></d>", "<d><gtlds><tld domain='x'><status>NO</status></tld></gtlds></d>"):
+        with pytest.raises(ValueError):
+            suffixes.parse(bad)
+
+
+def test_segments_are_dealt_in_one_job(spark, tmp_path):
+    parts = store.Segments(spark, f"file://{tmp_path}/g")
+    rows = spark.range(50).selectExpr("id", "cast(id % 5 + 1 as int) as segment_no")
+    made = parts.deal(rows, "segment_no", "b", "crawl_generate")
+    assert made == [f"b-{n:04d}" for n in range(1, 6)] == parts.names()
+    assert all(parts.read(n, "crawl_generate").count() == 10 for n in made)
+    every, without = parts.inputs("crawl_generate", [*made, "b-9"], rows.schema)
+    assert every.count() == 50 and without == ["b-9"] and sum("FileScan" in x for x in every._jdf.queryExecution().executedPlan().toString().split("\n")) == 1
+
+
 def test_store_lock_and_router(spark, tmp_path):
     kept = store.StateStore(spark, f"file://{tmp_path}/s", spark.range(1).schema)
     assert kept.read().count() == 0
