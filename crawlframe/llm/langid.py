@@ -34,8 +34,8 @@ class Settings:
     #: Shares of calibration texts, and of the same in scrambled letters, that the threshold may turn away and let pass.
     false_rejects: float = 0.001
     false_passes: float = 0.01
-    #: Short texts may score little more than this, so no score above it is turned away.
-    max_threshold: float = 0.5
+    #: Texts in two languages and short ones may score little, so only a score up to this many times that of chance is turned away.
+    over_chance: float = 1.2
 
 
 def windows(text: str):
@@ -185,7 +185,7 @@ def train(texts: list[str], langs: list[str], settings: Settings = Settings()) -
         clean = [x if k else x.max(1) for k, x in enumerate(model.scores(own))]
         foreign = [x if k else x.max(1) for k, x in enumerate(model.scores([_scrambled(t, rng) for t in own]))]
         model.threshold, model.support = (_limit(a, b, settings) for a, b in zip(clean, foreign))
-        model.threshold = min(model.threshold, settings.max_threshold)
+        model.threshold = min(model.threshold, settings.over_chance / len(kinds))
     return model
 
 
