@@ -20,7 +20,8 @@ from crawlframe.llm.common import only
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-GROUP = 1 << 20
+#: Signs that are looked up at a time; each takes some 60 bytes and three rows of the table, so this bounds a worker's memory.
+GROUP = 1 << 17
 
 
 @dataclass(frozen=True)
