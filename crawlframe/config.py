@@ -30,6 +30,9 @@ class CrawlConfig:
     fetch_timeout_s: float = 300.0
     content_limit: int = 2_097_152
     default_charset: str = "utf-8"
+    #: Names in SIGNATURES and NORMALIZERS.
+    signature: str = "md5"
+    normalizer: str = "basic"
     inc_rate: float = 0.2
     dec_rate: float = 0.2
     min_interval: int = 60

@@ -78,7 +78,13 @@ def disagree(header: Column | str, html: Column | str) -> Column:
 
 
 def decode(content: Column | str, charset: Column | str) -> Column:
-    """Text of bytes in a named encoding; bad bytes become replacement signs, unknown names count as UTF-8."""
+    """Text of bytes in a named encoding; bad bytes become replacement signs, unknown names count as UTF-8.
+
+    UTF-8 is decoded in the JVM; only bytes of other encodings go to Python.
+    """
+    content, charset = _c(content), _c(charset)
+    utf8 = F.coalesce(F.lower(charset).isin("utf-8", "utf8"), F.lit(True))
+
     def run(data: pd.Series, names: pd.Series) -> pd.Series:
         def one(b, n):
             if b is None:
@@ -91,4 +97,5 @@ def decode(content: Column | str, charset: Column | str) -> Column:
 
         return pd.Series([one(b, n) for b, n in zip(data, names)])
 
-    return F.pandas_udf(run, "string")(_c(content), _c(charset))
+    other = F.pandas_udf(run, "string")(F.when(~utf8, content), charset)
+    return F.when(utf8, F.make_valid_utf8(content.cast("string"))).otherwise(other)

@@ -5,6 +5,7 @@ Real tag soup goes through one Arrow-batched parse; what regular expressions can
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -73,10 +74,14 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def tree(html: str | None) -> Node:
+def tree(html: str | None, drop: tuple[str, ...] = ()) -> Node:
+    """Tree of a page or of a fragment, whatever its number of roots; elements named in ``drop`` are taken out with all they hold."""
     parser = _Tree()
     parser.feed(html or "")
     parser.close()
+    if drop:
+        for node in parser.root.walk():
+            node.children = [c for c in node.children if not (isinstance(c, Node) and c.tag in drop)]
     return parser.root
 
 
@@ -109,10 +114,8 @@ def meta_tags(root: Node, url: str) -> dict:
 
 def _refresh(out: dict, content: str, url: str) -> None:
     time, _, rest = content.partition(";")
-    try:
-        out["refresh_time"], out["refresh"] = int(time) if time == time.strip() else int("x"), True
-    except ValueError:
-        pass
+    if re.fullmatch(r"[+-]?\d+", time):
+        out["refresh_time"], out["refresh"] = int(time), True
     if out["refresh"]:
         target = None
         if ";" in content:
@@ -134,8 +137,6 @@ def meta_column(html: Column | str, url: Column | str) -> Column:
 
 def links(root: Node, url: str, pattern: str | None = None) -> list[tuple[str, str]]:
     """(url, anchor) of each link, against the base of the page; none where the page says nofollow."""
-    import re
-
     meta = meta_tags(root, url)
     if meta["no_follow"]:
         return []
@@ -171,32 +172,37 @@ def first_text(html: Column | str, pattern: str) -> Column:
 
 
 def xpath_text(html: Column | str, path: str) -> Column:
-    """Text of the nodes of a path in ElementTree's subset, trimmed, the blank ones left out, joined by line ends."""
+    """Values of a path, trimmed, the blank ones left out, joined by line ends.
+
+    Paths are those of ElementTree, may begin at the root, and may end in ``/@name`` or ``/text()``. A path that is none fails at once, on the driver.
+    """
+    values = _values(path)
+
     def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda h: "\n".join(t for t in (n.strip() for n in _select(h, path)) if t))
+        return pages.map(lambda h: "\n".join(t for t in (v.strip() for v in values(h)) if t))
 
     return F.pandas_udf(run, "string")(_c(html))
 
 
 def xpath_links(html: Column | str, url: Column | str, path: str, attribute: str = "href") -> Column:
-    """Attribute values of the nodes of a path, blanks left out, resolved against the url."""
+    """Attribute values of the nodes of a path, or its own values if it ends in ``/@name`` or ``/text()``, blanks left out, resolved against the url."""
+    values = _values(path if _nodes(path)[1] else f"{path}/@{attribute}")
+
     def run(pages: pd.Series, urls: pd.Series) -> pd.Series:
-        out = []
-        for h, u in zip(pages, urls):
-            found = [e.get(attribute, "").strip() for e in _element(tree(h)).findall(path)]
-            out.append([urljoin(u or "", x) for x in found if x])
-        return pd.Series(out)
+        return pd.Series([[t for t in (_target(u or "", v.strip()) for v in values(h) if v.strip()) if t] for h, u in zip(pages, urls)])
 
     return F.pandas_udf(run, "array<string>")(_c(html), _c(url))
 
 
 def xpath_html(html: Column | str, path: str) -> Column:
     """Serialised first node of a path; null where there is none."""
+    nodes, _ = _nodes(path)
+
     def run(pages: pd.Series) -> pd.Series:
         from xml.etree import ElementTree
 
         def one(h):
-            found = _element(tree(h)).find(path)
+            found = next(iter(_element(tree(h)).findall(nodes)), None)
             if found is None:
                 return None
             found.tail = None
@@ -207,6 +213,45 @@ def xpath_html(html: Column | str, path: str) -> Column:
     return F.pandas_udf(run, "string")(_c(html))
 
 
+def _target(base: str, href: str) -> str | None:
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
+def _nodes(path: str) -> tuple[str, str]:
+    """(path of nodes from the root, what to take of each: "", "text()" or an attribute); ValueError where it is no path."""
+    from xml.etree.ElementTree import Element
+
+    nodes, _, last = path.rpartition("/")
+    if last != "text()" and not last.startswith("@"):
+        nodes, last = path, ""
+    if not nodes or nodes.startswith("/"):
+        nodes = f".{nodes}"
+    if last and nodes.endswith("/"):  # of any node below
+        nodes += "/*"
+    try:
+        Element("x").findall(nodes)
+    except (SyntaxError, KeyError, TypeError) as e:  # what ElementTree raises, by the place of the fault
+        raise ValueError(f"not a path: {path}") from e
+    return nodes, last
+
+
+def _values(path: str):
+    nodes, last = _nodes(path)
+
+    def values(html: str | None) -> list[str]:
+        found = _element(tree(html)).findall(nodes)
+        if last == "text()":
+            return [t for e in found for t in (e.text, *(c.tail for c in e)) if t]
+        if last:
+            return [e.get(last[1:]) for e in found if e.get(last[1:]) is not None]
+        return ["".join(e.itertext()) for e in found]
+
+    return values
+
+
 def _element(node: Node):
     from xml.etree.ElementTree import Element
 
@@ -226,7 +271,3 @@ def _element(node: Node):
                 made.append(last)
                 stack.append((child, last))
     return out
-
-
-def _select(html: str | None, path: str) -> list[str]:
-    return ["".join(e.itertext()) for e in _element(tree(html)).findall(path)]

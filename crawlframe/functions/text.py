@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import html.entities
+import os
 import re
 import zlib
 
@@ -56,6 +57,10 @@ def signature(content: Column | str) -> Column:
     return F.unhex(F.md5(_c(content)))
 
 
+#: Page signatures by name; more can be put in.
+SIGNATURES = {"md5": signature}
+
+
 def signature_order(data: Column | str) -> Column:
     """Sort key: null first, shorter first, then by signed bytes. Flipping the top bit of each byte makes signed order unsigned."""
     d = _c(data)
@@ -63,34 +68,57 @@ def signature_order(data: Column | str) -> Column:
     return F.struct(F.coalesce(F.octet_length(d), F.lit(-1)), flipped)
 
 
-def _matches(s: Column, patterns: list[str], method: str) -> Column:
-    known = F.array(*[F.lit(p) for p in sorted({p for p in patterns if p}, key=lambda p: (len(p), p))])
-    return F.filter(known, lambda p: getattr(s, method)(p))
+def _quoted(text: str) -> str:
+    return re.sub(r"([^0-9A-Za-z\u0080-\U0010ffff])", r"\\\1", text)
+
+
+def _trie(patterns: list[str], longest: bool) -> str:
+    """Regular expression of the prefix tree of patterns: each place has one way on, so a match costs one walk down the tree."""
+    ways: dict[str, list[str]] = {}
+    for p in sorted(set(patterns)):
+        ways.setdefault(p[0], []).append(p)
+    out = []
+    for group in ways.values():
+        head = os.path.commonprefix(group)
+        rest = [p[len(head) :] for p in group if p != head]
+        tail = f"(?:{_trie(rest, longest)})" if rest and (longest or len(rest) == len(group)) else ""
+        out.append(_quoted(head) + tail + ("?" if tail and len(rest) < len(group) else ""))
+    return "|".join(out)
+
+
+def _match(s: Column, patterns: list[str], longest: bool) -> Column:
+    known = [p for p in patterns if p]
+    return F.nullif(F.regexp_extract(s, f"^(?:{_trie(known, longest)})", 0), F.lit("")) if known else F.lit(None).cast("string")
+
+
+def _turned(patterns: list[str]) -> list[str]:
+    return [p[::-1] for p in patterns]
 
 
 def prefix_shortest(s: Column | str, patterns: list[str]) -> Column:
     """The shortest pattern that the string begins with; null if none does."""
-    return F.try_element_at(_matches(_c(s), patterns, "startswith"), F.lit(1))
+    return _match(_c(s), patterns, False)
 
 
 def prefix_longest(s: Column | str, patterns: list[str]) -> Column:
-    return F.try_element_at(_matches(_c(s), patterns, "startswith"), F.lit(-1))
+    return _match(_c(s), patterns, True)
 
 
 def prefix_matches(s: Column | str, patterns: list[str]) -> Column:
-    return F.size(_matches(_c(s), patterns, "startswith")) > 0
+    return prefix_shortest(s, patterns).isNotNull()
 
 
 def suffix_shortest(s: Column | str, patterns: list[str]) -> Column:
-    return F.try_element_at(_matches(_c(s), patterns, "endswith"), F.lit(1))
+    """The shortest pattern that the string ends with: a prefix of the string read backwards."""
+    return F.reverse(_match(F.reverse(_c(s)), _turned(patterns), False))
 
 
 def suffix_longest(s: Column | str, patterns: list[str]) -> Column:
-    return F.try_element_at(_matches(_c(s), patterns, "endswith"), F.lit(-1))
+    return F.reverse(_match(F.reverse(_c(s)), _turned(patterns), True))
 
 
 def suffix_matches(s: Column | str, patterns: list[str]) -> Column:
-    return F.size(_matches(_c(s), patterns, "endswith")) > 0
+    return suffix_shortest(s, patterns).isNotNull()
 
 
 def header_name(name: Column | str) -> Column:
@@ -147,6 +175,12 @@ def http_date(ms: Column | str) -> Column:
     return F.concat(F.date_format(F.timestamp_millis(_c(ms)), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
 
 
+def if_modified_since(modified_ms: Column | str) -> Column:
+    """Header of a conditional request; null where the time of the last change is not known."""
+    m = _c(modified_ms)
+    return F.when(m > 0, F.concat(F.lit("If-Modified-Since: "), http_date(m)))
+
+
 def http_date_ms(text: Column | str) -> Column:
     """Milliseconds of an HTTP date; null where it is none."""
     return F.unix_millis(F.try_to_timestamp(F.substring(_c(text), 6, 20), F.lit("dd MMM yyyy HH:mm:ss")))

@@ -61,6 +61,10 @@ def normalize(url: Column | str) -> Column:
     return F.when(_c(url) == "", "").when(_well_formed(u), F.when(changed, rebuilt).otherwise(u))
 
 
+#: Canonical forms by name; more can be put in.
+NORMALIZERS = {"basic": normalize}
+
+
 def host(url: Column | str) -> Column:
     """Host in lower case; null on a malformed url."""
     return F.when(_well_formed(_c(url)), F.lower(_part(_c(url), 3)))

@@ -13,7 +13,7 @@ import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from email.utils import formatdate
 from urllib.parse import urlsplit
 
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from crawlframe import schema as S
 from crawlframe.config import CrawlConfig
 from crawlframe.functions.http import http_to_protocol, protocol_to_crawl
-from crawlframe.functions.text import put_all, signature
+from crawlframe.functions.text import SIGNATURES, put_all
 from crawlframe.functions.url import host
+from crawlframe.sources import credentials
 
 
 @dataclass
@@ -88,6 +89,28 @@ class HttpFetcher:
         return Response(answer.status, self._body(raw, (answer.headers.get("Content-Encoding") or "").lower()), headers)
 
 
+@dataclass
+class Authenticated:
+    """Answers a Basic challenge (401) once, with the credentials of its scope; other challenges stay as they come.
+
+    Certificates are checked as ever. Challenges of other schemes than Basic, NTLM among them, are not answered.
+    """
+
+    inner: HttpFetcher
+    scopes: list[credentials.Scope] = field(default_factory=list)
+
+    def __call__(self, url: str, modified_ms: int = 0) -> Response:
+        first = self.inner(url, modified_ms)
+        challenges = [v for k, vs in first.headers.items() if k.lower() == "www-authenticate" for v in vs] if first.code == 401 else []
+        parts = urlsplit(url)
+        port = parts.port or {"http": 80, "https": 443}.get(parts.scheme.lower())
+        for scheme, realm in map(credentials.challenge, challenges):
+            found = credentials.find(self.scopes, parts.hostname or "", port, realm, scheme)
+            if scheme == "basic" and found is not None:
+                return replace(self.inner, headers={**self.inner.headers, "Authorization": credentials.basic(found)})(url, modified_ms)
+        return first
+
+
 #: Bodies of so many bytes are handed on at once.
 FLUSH_BYTES = 64 << 20
 _HOSTS = threading.Lock()
@@ -135,19 +158,23 @@ class TableFetcher:
 PROTOCOLS: dict[str, Callable[..., Fetcher]] = {"http": HttpFetcher, "https": HttpFetcher}
 
 
-def protocol(url: str) -> Callable[..., Fetcher]:
+def protocol(url: str, protocols: dict[str, Callable[..., Fetcher]] | None = None) -> Callable[..., Fetcher]:
     """The fetcher for a url's scheme; ValueError if none is known."""
-    scheme = urlsplit(url).scheme.lower()
-    if scheme not in PROTOCOLS:
+    known, scheme = PROTOCOLS if protocols is None else protocols, urlsplit(url).scheme.lower()
+    if scheme not in known:
         raise ValueError(f"no protocol for {url!r}")
-    return PROTOCOLS[scheme]
+    return known[scheme]
 
 
 @dataclass
 class ByProtocol:
-    """Hands each url to the fetcher of its scheme, made on first use; a url of an unknown scheme is an error of its row."""
+    """Hands each url to the fetcher of its scheme, made on first use; a url of an unknown scheme is an error of its row.
+
+    ``protocols`` are those known where this is made, and go to the tasks with it.
+    """
 
     settings: dict[str, dict] = field(default_factory=dict)
+    protocols: dict[str, Callable[..., Fetcher]] = field(default_factory=lambda: dict(PROTOCOLS))
 
     def __post_init__(self):
         self._made: dict[str, Fetcher] = {}
@@ -155,7 +182,7 @@ class ByProtocol:
     def __call__(self, url: str, modified_ms: int = 0) -> Response:
         scheme = urlsplit(url).scheme.lower()
         if scheme not in self._made:
-            self._made[scheme] = protocol(url)(**self.settings.get(scheme, {}))
+            self._made[scheme] = protocol(url, self.protocols)(**self.settings.get(scheme, {}))
         return self._made[scheme](url, modified_ms)
 
 
@@ -201,9 +228,11 @@ def fetch(rows: DataFrame, fetcher: Fetcher, config: CrawlConfig = CrawlConfig()
 
     A request that takes longer than ``fetch_timeout_s`` counts as an error. Rows of a host go to one task with ``by_host``, which is so
     where none is given and the fetcher is polite; else a fetch list is a task. Bodies are handed on once they
-    reach ``FLUSH_BYTES``. Write the result before it is used twice.
+    reach ``FLUSH_BYTES``. Write the result before it is used twice. Speculative copies of tasks would request pages twice, so a session that runs them is refused.
     """
     threads, limit = config.fetch_threads, config.fetch_timeout_s
+    if rows.sparkSession.sparkContext.getConf().get("spark.speculation", "false").lower() == "true":
+        raise ValueError("set spark.speculation to false: a copy of a task would request its pages again")
 
     def run(batches):
         import pyarrow as pa
@@ -254,7 +283,7 @@ def status_rows(fetched: DataFrame, config: CrawlConfig = CrawlConfig()) -> Data
     status = protocol_to_crawl(http_to_protocol(F.col("code")), config.compat).cast("int")
     got = fetched.withColumn("status", status).withColumn("fetch_time", F.lit(config.now_ms).cast("long"))
     if config.compat == "intended":
-        got = got.withColumn("signature", F.when(F.col("status") == S.FETCH_SUCCESS, signature("body")))
+        got = got.withColumn("signature", F.when(F.col("status") == S.FETCH_SUCCESS, SIGNATURES[config.signature]("body")))
     return got.drop(*extra)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe import schema as S
 from crawlframe.config import CrawlConfig
-from crawlframe.functions.url import normalize
+from crawlframe.functions.url import NORMALIZERS
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +26,7 @@ def parse(lines: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     every = F.map_from_entries(last)
     rows = lines if config.compat == "intended" else lines.filter(F.contains("line", F.lit("\t")))
-    rows = rows.select(normalize(F.get(fields, F.lit(0))).alias("url"), every.alias("all")).filter("url is not null and url <> ''")
+    rows = rows.select(NORMALIZERS[config.normalizer](F.get(fields, F.lit(0))).alias("url"), every.alias("all")).filter("url is not null and url <> ''")
     given = lambda key, kind, default: F.coalesce(F.try_element_at("all", F.lit(key)).try_cast(kind), F.lit(default).cast(kind)) if config.honor_reserved_keys else F.lit(default).cast(kind)
     reserved = ("score", "fetchInterval") if config.honor_reserved_keys else ()
     return rows.select(

@@ -9,12 +9,12 @@ from crawlframe import schema as S
 from crawlframe.config import CrawlConfig
 from crawlframe.functions.http import has_db_status, has_fetch_status
 from crawlframe.functions.text import put_all
-from crawlframe.functions.url import normalize
+from crawlframe.functions.url import NORMALIZERS
 
 
-def filter_urls(records: DataFrame, column: str = "url") -> DataFrame:
+def filter_urls(records: DataFrame, column: str = "url", normalizer: str = "basic") -> DataFrame:
     """Normalise the key and drop rows whose url is malformed."""
-    return records.withColumn(column, normalize(column)).filter(F.col(column).isNotNull())
+    return records.withColumn(column, NORMALIZERS[normalizer](column)).filter(F.col(column).isNotNull())
 
 
 def _transition(f: Column, o: Column, config: CrawlConfig) -> Column:
@@ -78,4 +78,4 @@ def merge(records: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
 
 def update(old: DataFrame, fetched: DataFrame, linked: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
     """State table after the fetch and link rows of segments have come in."""
-    return merge(filter_urls(old.unionByName(fetched, True).unionByName(linked, True)), config)
+    return merge(filter_urls(old.unionByName(fetched, True).unionByName(linked, True), normalizer=config.normalizer), config)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlframe.plans import crawl_queries, function_queries, state_queries, storage_queries  # noqa: F401  they register their queries
+from crawlframe.plans import crawl_queries, function_queries, service_queries, state_queries, storage_queries  # noqa: F401  they register their queries
 from crawlframe.plans.registry import FOUND, SQL
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from crawlframe.config import CrawlConfig
@@ -15,6 +13,7 @@ from crawlframe.operators import fetch, generate, parse
 from crawlframe.operators.crawl import Crawl
 from crawlframe.plans import fixtures as X
 from crawlframe.plans.registry import query
+from crawlframe.sources import store
 
 CONFIG = CrawlConfig(now_ms=X.NOW)
 _PROTOCOL = "(map {200: 1, 301: 12, 302: 13, 303: 13, 307: 13, 304: 21, 400: 11, 410: 11, 401: 17, 404: 14, 500: 16})[code]"
@@ -208,17 +207,19 @@ def url_resolve(spark, sf_dir):
     return X.table(spark, sf_dir, "pages").select("page_id", resolve("url", F.concat(F.lit("/x/"), F.col("page_id").cast("string"))).alias("link"))
 
 
-@query()
+@query(f"""with {X.LINKS}, known as (select distinct {X.PAGE_URL} as url from pages),
+ends as (select url, 2 as status from known union all select distinct link, 3 from links where page_id % 5 <> 0 and link not in (select url from known))
+select status, count(*) as urls, (select count(distinct status) from ends) as rounds from ends group by status""")
 def crawl_loop_offline(spark, sf_dir):
-    """Whole crawl over a table of pages, until nothing is due: how many urls ended in each state."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='crawlframe-')}"
-    import uuid
+    """Whole crawl over a table of pages, until nothing is due: how many urls ended in each state.
 
-    crawl = Crawl(spark, f"{base}/crawl-{uuid.uuid4().hex[:12]}", CrawlConfig(now_ms=X.NOW, increment_retries=True))
+    Seeds without a parser give no links; links to no page of the table end as gone in the second round.
+    """
+    crawl = Crawl(spark, store.shared_folder(spark, "crawl"), CrawlConfig(now_ms=X.NOW, increment_retries=True))
     crawl.inject(X.seeds(spark, sf_dir))
     rounds = crawl.run(pages=X.contents(spark, sf_dir).select("url", "content"))
     state = crawl.store.read()
-    return state.groupBy("status").agg(F.count("*").alias("urls")).withColumn("rounds", F.lit(rounds))
+    return state.groupBy("status").agg(F.count("*").alias("urls")).withColumn("rounds", F.lit(rounds).cast("long"))
 
 
 @query(f"select {X.PAGE_URL} as url, 'k=' || page_id as meta from pages where page_id % 5 <> 0")

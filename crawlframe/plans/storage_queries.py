@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from crawlframe import schema as S
@@ -16,14 +13,8 @@ from crawlframe.sources import store
 from crawlframe.sources.avro_pair import AvroPairSource
 
 
-def _folder(spark, kind: str) -> str:
-    """A folder that all executors see; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='crawlframe-')}/{kind}-{uuid.uuid4().hex[:12]}"
-
-
 def _sorted(spark, sf_dir):
-    path = _folder(spark, "sorted")
+    path = store.shared_folder(spark, "sorted")
     lookup.write_sorted(X.table(spark, sf_dir, "pages").select("url", "page_id"), path)
     return spark.read.parquet(path)
 
@@ -36,7 +27,7 @@ def lookup_get(spark, sf_dir):
 
 @query("select url, page_id from pages where page_id = 7")
 def lookup_get_hashed(spark, sf_dir):
-    rows, path = X.table(spark, sf_dir, "pages").select("url", "page_id"), _folder(spark, "hashed")
+    rows, path = X.table(spark, sf_dir, "pages").select("url", "page_id"), store.shared_folder(spark, "hashed")
     lookup.write_hashed(rows, path, 4)
     return lookup.get_hashed(spark, path, rows.filter("page_id = 7").first()["url"], 4).select("url", "page_id")
 
@@ -83,7 +74,7 @@ def segment_part_parse(spark, sf_dir):
 def pair_avro_roundtrip(spark, sf_dir):
     """Pages written as Avro container files and read again."""
     spark.dataSource.register(AvroPairSource)
-    path = _folder(spark, "avro")
+    path = store.shared_folder(spark, "avro")
     rows = X.table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("content"))
     rows.write.format("avro_pair").mode("append").save(path)
     again = spark.read.format("avro_pair").schema(rows.schema).load(path)
@@ -94,7 +85,7 @@ def pair_avro_roundtrip(spark, sf_dir):
 def snapshot_install(spark, sf_dir):
     """The second of two snapshots is in force."""
     schema = X.state(spark, sf_dir).select("url", "status").schema
-    kept = store.StateStore(spark, _folder(spark, "state"), schema)
+    kept = store.StateStore(spark, store.shared_folder(spark, "state"), schema)
     rows = X.state(spark, sf_dir)
     with kept.lock():
         kept.install(rows.filter("page_id % 2 = 0").select("url", "status"))
@@ -104,7 +95,7 @@ def snapshot_install(spark, sf_dir):
 
 @query("select case when event_type = 'error' then 'bad' else 'good' end as sink, count(*) as n from events where event_type in ('error', 'view') group by 1")
 def router_sinks(spark, sf_dir):
-    base = _folder(spark, "router")
+    base = store.shared_folder(spark, "router")
     router = store.Router().add("good", F.col("event_type") == "view", ["event_id"]).add("bad", F.col("event_type") == "error", ["event_id", "props"], "json")
     router.write(X.table(spark, sf_dir, "events"), base)
     good = spark.read.parquet(f"{base}/good").select(F.lit("good").alias("sink"))
@@ -118,6 +109,12 @@ def key_order(spark, sf_dir):
     return filter_urls(X.records(spark, sf_dir).select("url")).distinct().orderBy("url")
 
 
-@query()
+_STATE = [
+    ("url", "string"), ("status", "int"), ("fetch_time", "bigint"), ("modified_time", "bigint"), ("fetch_interval", "int"), ("retries", "int"), ("score", "float"),
+    ("signature", "binary"), ("extend", "map<string,string>"), ("meta_data", "map<string,string>"), ("seq", "bigint"),
+]
+
+
+@query("select * from (values " + ", ".join(f"('{n}', '{k}')" for n, k in _STATE) + ") as v(name, kind)")
 def state_schema(spark, sf_dir):
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in S.CRAWL_DATUM.fields], "name string, kind string")

@@ -8,6 +8,7 @@ old state or the new one is in force.
 from __future__ import annotations
 
 import re
+import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -76,6 +77,16 @@ class Files:
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() or not dirs_only)
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's name below the one that the driver and all executors share; RuntimeError on a cluster whose session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='crawlframe-')}"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
+
+
 @contextmanager
 def lock(spark: SparkSession, path: str, force: bool = False, wait_s: float = 0.0) -> Iterator[None]:
     """Hold a lock file; ``force`` takes one that is held, and ``wait_s`` waits for it. It is given back however the block ends."""

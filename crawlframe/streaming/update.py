@@ -24,7 +24,7 @@ def update_stream(records: DataFrame, store: StateStore, checkpoint: str, config
             return
         with store.lock(wait_s=wait_s):
             both = store.read().select(*names).unionByName(batch.select(*names))
-            store.install(update.merge(update.filter_urls(both), config).select(*names))
+            store.install(update.merge(update.filter_urls(both, normalizer=config.normalizer), config).select(*names))
 
     writer = records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
