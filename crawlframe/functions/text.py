@@ -263,19 +263,25 @@ def decode_entity(m: re.Match) -> str:
 
 
 def entities_decode(text: Column | str) -> Column:
-    """Named and numbered HTML entities as signs; unknown ones vanish."""
+    """Named and numbered HTML entities as signs; unknown ones vanish. Only texts with an ampersand go to Python."""
+    t = _c(text)
+    some = F.contains(t, F.lit("&"))
+
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else re.sub(r"&(#?[0-9A-Za-z]+);", decode_entity, t))
 
-    return F.pandas_udf(run, "string")(_c(text))
+    return F.when(some, F.pandas_udf(run, "string")(F.when(some, t))).otherwise(t)
 
 
 def entities_encode(text: Column | str) -> Column:
-    """Signs below 256 by name where they have one, ASCII as it is, others by number."""
+    """Signs below 256 by name where they have one, ASCII as it is, others by number. Only texts with such signs go to Python."""
+    s = _c(text)
+    some = s.rlike(r"[^\x00-\x7F]|[&<>\"]")
+
     def one(t):
         return None if t is None else "".join(_NAMED.get(c) or (c if ord(c) < 128 else f"&#{ord(c)};") for c in t)
 
-    return F.pandas_udf(_series(one), "string")(_c(text))
+    return F.when(some, F.pandas_udf(_series(one), "string")(F.when(some, s))).otherwise(s)
 
 
 def _series(function):

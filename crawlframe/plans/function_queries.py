@@ -236,6 +236,29 @@ def gzip_roundtrip(spark, sf_dir):
     return packed.select("doc_id", F.octet_length("data").cast("long").alias("n"), (text.gunzip("g") == F.col("data")).alias("zipped"), (text.inflate("z") == F.col("data")).alias("zlib_"), (text.inflate_raw("r") == F.col("data")).alias("raw"))
 
 
+@query("select doc_id, text, left(hex(encode(text)), 20) as head from documents where text is not null")
+def gzip_cut(spark, sf_dir):
+    """A stream without its last eight bytes still gives the whole text, and a limit the first bytes alone."""
+    rows = X.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.gzip_pack(F.col("text").cast("binary")).alias("g"))
+    cut = F.expr("substring(g, 1, octet_length(g) - 8)")
+    return rows.select("doc_id", text.gunzip(cut).cast("string").alias("text"), F.hex(text.gunzip("g", 10)).alias("head"))
+
+
+_ENTITIES = [("a < b & \"c\"", "a &lt; b &amp; &quot;c&quot;"), ("é ÿ", "&eacute; &yuml;"), ("漢", "&#28450;"), ("plain", "plain"), ("", "")]
+_CODED = [("&lt;&amp;gt;", "<&gt;"), ("&#65;&#x42;&#X43;", "ABC"), ("&nothing;x", "x"), ("& ;&", "& ;&"), ("&euro;", "€"), ("&#1114112;", "")]
+
+
+@query(_values([(a, b, a) for a, b in _ENTITIES], "plain, coded, again"))
+def entity_encode(spark, sf_dir):
+    rows = spark.createDataFrame([(a,) for a, _ in _ENTITIES], "plain string").withColumn("coded", text.entities_encode("plain"))
+    return rows.withColumn("again", text.entities_decode("coded"))
+
+
+@query(_values(_CODED, "coded, plain"))
+def entity_decode(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a, _ in _CODED], "coded string").withColumn("plain", text.entities_decode("coded"))
+
+
 @query("select doc_id, text from documents where text is not null")
 def entity_codec(spark, sf_dir):
     """Text with its signs as entities, and back."""

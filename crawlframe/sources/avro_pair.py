@@ -6,7 +6,8 @@
 
 Scalars, byte strings, arrays, text-keyed maps and records are covered; each nullable field is a union with null. Blocks
 are cut at about 64 KB, so readers can start at any of their marks; a file is read by one task for each range.
-Files are opened where the task runs, so paths must be visible to all executors.
+Files are opened where the task runs, by Arrow's file systems: plain paths and ``file:`` are folders that all executors must see,
+other schemes (``hdfs``, ``s3``, ``gs``, …) go to their stores.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
-from glob import glob
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
+from pyarrow import fs
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -170,10 +171,24 @@ def read_header(f) -> tuple[dict, str, bytes]:
     return json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null").decode(), f.read(16)
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path, and the path in it."""
+    parts = urlsplit(path)
+    if parts.scheme == "file":
+        return fs.LocalFileSystem(), unquote(parts.path)
+    return fs.FileSystem.from_uri(path) if parts.scheme and "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _reading(path: str):
+    store, name = place(path)
+    return io.BufferedReader(store.open_input_file(name), 1 << 20)
+
+
 def write_file(path: str, schema, rows, codec: str = "deflate", level: int = 1) -> int:
     """Write records (dictionaries) to a container file; returns how many."""
     mark, total = os.urandom(16), 0
-    with open(path, "wb") as f:
+    store, name = place(path)
+    with store.open_output_stream(name) as f:
         f.write(header(schema, mark, codec))
         block, n = io.BytesIO(), 0
 
@@ -200,10 +215,10 @@ def write_file(path: str, schema, rows, codec: str = "deflate", level: int = 1)
 
 def read_range(path: str, begin: int = 0, end: int | None = None):
     """Records of the blocks that begin behind a mark in [begin, end)."""
-    with open(path, "rb") as f:
+    with _reading(path) as f:
         schema, codec, mark = read_header(f)
-        first = f.tell()
-        size = os.fstat(f.fileno()).st_size
+        first, size = f.tell(), f.seek(0, io.SEEK_END)
+        f.seek(first)
         end = size if end is None else end
         if begin > first:
             f.seek(begin - 16)
@@ -235,11 +250,18 @@ def _seek_mark(f, mark: bytes) -> bool:
     return False
 
 
-def _local(path: str) -> str:
-    parts = urlsplit(path)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"avro_pair reads and writes mounted folders, not {parts.scheme}://")
-    return parts.path or path
+def files_of(path: str) -> list[tuple[str, int]]:
+    """(path, size) of the container files of a folder, sorted; a folder of a sorted map is read by its data file, a file stands for itself."""
+    store, root = place(path)
+    if store.get_file_info(root).type == fs.FileType.File:
+        return [(path, store.get_file_info(root).size)]
+    found = []
+    for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
+        folders = f.path.rstrip("/").removeprefix(root.rstrip("/")).strip("/").split("/")
+        plain = len(folders) == 1 and f.extension == "avro" and not f.base_name.startswith(".") and f.base_name != "index.avro"
+        if f.type == fs.FileType.File and (plain or (len(folders) == 2 and f.base_name == "data.avro")):
+            found.append(("/".join([path.rstrip("/"), *folders]), f.size))
+    return sorted(found)
 
 
 @dataclass
@@ -260,10 +282,7 @@ class _Reader(DataSourceReader):
         self.schema, self.path = schema, path
 
     def partitions(self):
-        """A folder of a sorted map is read by its data file."""
-        files = sorted(glob(f"{self.path}/*.avro") + glob(f"{self.path}/*/data.avro")) if os.path.isdir(self.path) else [self.path]
-        files = [f for f in files if os.path.basename(f) != "index.avro"]
-        return [_Range(f, at, min(at + SPLIT, os.path.getsize(f))) for f in files for at in range(0, max(os.path.getsize(f), 1), SPLIT)]
+        return [_Range(f, at, min(at + SPLIT, size)) for f, size in files_of(self.path) for at in range(0, max(size, 1), SPLIT)]
 
     def read(self, part: _Range):
         for row in read_range(part.path, part.begin, part.end):
@@ -279,24 +298,30 @@ def _fields(name: str, row: dict) -> dict:
 class _Writer(DataSourceWriter):
     def __init__(self, schema: T.StructType, path: str, overwrite: bool, codec: str):
         self.schema, self.path, self.codec = schema, path, codec
-        self.before = glob(f"{path}/part-*.avro") if overwrite else []
+        self.before = [f for f, _ in files_of(path) if f.rpartition("/")[2].startswith("part-")] if overwrite else []
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/.part-{uuid.uuid4().hex}.avro"
+        store, root = place(self.path)
+        store.create_dir(root, recursive=True)
+        name = f"{self.path.rstrip('/')}/.part-{uuid.uuid4().hex}.avro"
         return _Written(name, write_file(name, avro_type(self.schema, "Pair"), (r.asDict(True) for r in rows), self.codec))
 
     def commit(self, messages):
-        for f in self.before:
-            os.remove(f)
+        """Files get their names first, and those they replace go last, so a crash in between loses no row."""
         for k, m in enumerate(m for m in messages if m):
-            folder, base = os.path.split(m.path)
-            os.rename(m.path, f"{folder}/part-{k:05d}-{base[6:]}")
+            store, draft = place(m.path)
+            folder, _, base = draft.rpartition("/")
+            store.move(draft, f"{folder}/part-{k:05d}-{base[6:]}")
+        for f in self.before:
+            store, name = place(f)
+            store.delete_file(name)
 
     def abort(self, messages):
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+            if m:
+                store, name = place(m.path)
+                if store.get_file_info(name).type == fs.FileType.File:
+                    store.delete_file(name)
 
 
 class AvroPairSource(DataSource):
@@ -307,16 +332,17 @@ class AvroPairSource(DataSource):
         return "avro_pair"
 
     def schema(self):
-        path = _local(self.options["path"])
-        file = sorted(glob(f"{path}/*.avro"))[0] if os.path.isdir(path) else path
-        with open(file, "rb") as f:
+        found = files_of(self.options["path"])
+        if not found:
+            raise FileNotFoundError(self.options["path"])
+        with _reading(found[0][0]) as f:
             return spark_type(read_header(f)[0])
 
     def reader(self, schema):
-        return _Reader(schema, _local(self.options["path"]))
+        return _Reader(schema, self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _Writer(schema, _local(self.options["path"]), overwrite, self.options.get("codec", "deflate"))
+        return _Writer(schema, self.options["path"], overwrite, self.options.get("codec", "deflate"))
 
 
 def spark_type(schema) -> T.DataType:

@@ -158,3 +158,33 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         store.shared_folder(Session(), "k")
+
+
+def test_avro_files_by_arrow_file_systems(spark, tmp_path, monkeypatch):
+    """The same files through a store that is no mounted folder: nothing but its file system sees them."""
+    from pyarrow import fs
+
+    from crawlframe.sources import avro_pair
+
+    far = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(avro_pair, "place", lambda path: (far, path.removeprefix("far://")))
+    schema = spark.createDataFrame([], "key string, value long").schema
+    rows = spark.createDataFrame([("a", 1), ("b", None)], schema).collect()
+
+    def put(overwrite: bool) -> None:
+        writer = avro_pair._Writer(schema, "far://d", overwrite, "deflate")
+        writer.commit([writer.write(iter(rows)), None])
+
+    reader = avro_pair._Reader(schema, "far://d")
+    read = lambda: [r for part in reader.partitions() for r in reader.read(part)]
+    put(False)
+    put(False)
+    assert sorted(read()) == [("a", 1), ("a", 1), ("b", None), ("b", None)] and avro_pair._Reader(schema, "far://d").partitions()[0].path.startswith("far://d/part-")
+    put(True)
+    assert sorted(read()) == [("a", 1), ("b", None)] and avro_pair.AvroPairSource({"path": "far://d"}).schema() == schema
+    writer = avro_pair._Writer(schema, "far://d", False, "null")
+    writer.abort([writer.write(iter(rows)), None])
+    (tmp_path / "d" / "m").mkdir()
+    (tmp_path / "d" / "m" / "index.avro").write_bytes(b"")
+    next((tmp_path / "d").glob("part-*.avro")).rename(tmp_path / "d" / "m" / "data.avro")
+    assert sorted(read()) == [("a", 1), ("b", None)] and avro_pair.files_of("far://none") == []
