@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,22 +43,43 @@ def clean_path(path: Column | str) -> Column:
     return F.when(path.rlike(r"//|/\.\./"), F.aggregate(rounds, path, step)).otherwise(path)
 
 
+#: Urls that are their own canonical form, as one look tells; most of a state table's are.
+_CANONICAL = r"(?s)^(?:(?:http|ftp)://[a-z0-9._\-]+(?=/)(?!.*?(?://|/\.\./))[^#]*|(?:https|file)://[a-z0-9._\-]+(?:[/?#].*)?)(?<![\x00-\x20])\z"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _rebuild(url: Column) -> Column:
+    def build(u: Column, p: Column, file: Column) -> Column:
+        scheme, plain = F.lower(p["scheme"]), F.lower(p["scheme"]).isin("http", "ftp")
+        default = F.when(scheme == "http", 80).when(scheme == "ftp", 21)
+        host = F.when(plain, F.lower(p["host"])).otherwise(p["host"])
+        port = F.when((p["port"] == "") | (plain & (p["port"].try_cast("int") == default)), "").otherwise(F.concat(F.lit(":"), p["port"]))
+        changed = (p["scheme"] != scheme) | (plain & ((p["host"] != host) | ((p["port"] != "") & (port == "")) | (p["file"] != file) | (p["ref"] != "")))
+        return F.when(changed, F.concat(scheme, F.lit("://"), host, port, file, F.when(plain, F.lit("")).otherwise(p["ref"]))).otherwise(u)
+
+    def files(u: Column, p: Column) -> Column:
+        plain = F.lower(p["scheme"]).isin("http", "ftp")
+        return _let(F.when(plain, clean_path(F.when(p["file"] == "", "/").otherwise(p["file"]))).otherwise(p["file"]), lambda file: build(u, p, file))
+
+    def parts(u: Column) -> Column:
+        found = F.struct(*[_part(u, k).alias(n) for n, k in (("scheme", 1), ("host", 3), ("port", 4), ("file", 5), ("ref", 6))])
+        return F.when(_well_formed(u), _let(found, lambda p: files(u, p)))
+
+    return _let(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), parts)
+
+
 def normalize(url: Column | str) -> Column:
     """Canonical form; null where the url is malformed.
 
     http and ftp: lower-case host, no default port, no reference, "/" for an empty file, clean path and query.
     Others stay as they are, trimmed, but for an upper-case scheme. An empty string stays empty.
     """
-    u = F.regexp_replace(_c(url), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    scheme, host, port, file, ref = F.lower(_part(u, 1)), _part(u, 3), _part(u, 4), _part(u, 5), _part(u, 6)
-    plain = scheme.isin("http", "ftp")
-    default = F.when(scheme == "http", "80").when(scheme == "ftp", "21").when(scheme == "https", "443").otherwise("")
-    new_host = F.when(plain, F.lower(host)).otherwise(host)
-    new_port = F.when((port == "") | (plain & (port.try_cast("int") == default.try_cast("int"))), "").otherwise(F.concat(F.lit(":"), port))
-    new_file = F.when(plain, clean_path(F.when(file == "", "/").when(file.startswith("?"), file).otherwise(file))).otherwise(file)
-    rebuilt = F.concat(scheme, F.lit("://"), new_host, new_port, new_file, F.when(plain, F.lit("")).otherwise(ref))
-    changed = (_part(u, 1) != scheme) | (plain & ((host != new_host) | ((port != "") & (new_port == "")) | (file != new_file) | (ref != "")))
-    return F.when(_c(url) == "", "").when(_well_formed(u), F.when(changed, rebuilt).otherwise(u))
+    u = _c(url)
+    return F.when((u == "") | u.rlike(_CANONICAL), u).otherwise(_rebuild(u))
 
 
 #: Canonical forms by name; more can be put in.

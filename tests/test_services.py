@@ -8,7 +8,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from crawlframe.functions import charset, html, text
+from crawlframe.functions import charset, html, text, url
 from crawlframe.operators import fetch, lookup
 from crawlframe.sources import credentials, store, xml
 
@@ -188,3 +188,15 @@ def test_avro_files_by_arrow_file_systems(spark, tmp_path, monkeypatch):
     (tmp_path / "d" / "m" / "index.avro").write_bytes(b"")
     next((tmp_path / "d").glob("part-*.avro")).rename(tmp_path / "d" / "m" / "data.avro")
     assert sorted(read()) == [("a", 1), ("b", None)] and avro_pair.files_of("far://none") == []
+
+
+def test_canonical_urls_by_one_look(spark):
+    """What the one look lets through is what the parts would give; and it lets plain urls through."""
+    rng = random.Random(6)
+    parts = ["http://", "https://", "ftp://", "file://", "HTTP://", "mailto:", "a.com", "B.com", "[::1]", "u@", ":80", ":81", "/", "//", "/../", "/..", "/x", "?q=1", "#f", " ", "\n", "é"]
+    tail = lambda n: "".join(rng.choice(parts[6:]) for _ in range(rng.randint(0, n)))
+    made = {rng.choice(parts[:6]) + tail(6) for _ in range(3000)} | {rng.choice(parts[:4]) + "a.com" + tail(5) for _ in range(3000)} | {"http://a.com/x", "https://a.com"}
+    rows = spark.createDataFrame([(m,) for m in sorted(made)], "u string").select("u", F.col("u").rlike(url._CANONICAL).alias("plain"), url._rebuild(F.col("u")).alias("built"), url.normalize("u").alias("normal"))
+    got = rows.collect()
+    assert all(r.built == r.u for r in got if r.plain) and all(r.normal == r.built for r in got if r.u) and sum(r.plain for r in got) > 300
+    assert {r.u for r in got if r.plain} >= {"http://a.com/x", "https://a.com"}
