@@ -72,7 +72,7 @@ def _quoted(text: str) -> str:
     return re.sub(r"([^0-9A-Za-z\u0080-\U0010ffff])", r"\\\1", text)
 
 
-def _trie(patterns: list[str], longest: bool) -> str:
+def trie_pattern(patterns: list[str], longest: bool) -> str:
     """Regular expression of the prefix tree of patterns: each place has one way on, so a match costs one walk down the tree."""
     ways: dict[str, list[str]] = {}
     for p in sorted(set(patterns)):
@@ -81,14 +81,14 @@ def _trie(patterns: list[str], longest: bool) -> str:
     for group in ways.values():
         head = os.path.commonprefix(group)
         rest = [p[len(head) :] for p in group if p != head]
-        tail = f"(?:{_trie(rest, longest)})" if rest and (longest or len(rest) == len(group)) else ""
+        tail = f"(?:{trie_pattern(rest, longest)})" if rest and (longest or len(rest) == len(group)) else ""
         out.append(_quoted(head) + tail + ("?" if tail and len(rest) < len(group) else ""))
     return "|".join(out)
 
 
 def _match(s: Column, patterns: list[str], longest: bool) -> Column:
     known = [p for p in patterns if p]
-    return F.nullif(F.regexp_extract(s, f"^(?:{_trie(known, longest)})", 0), F.lit("")) if known else F.lit(None).cast("string")
+    return F.nullif(F.regexp_extract(s, f"^(?:{trie_pattern(known, longest)})", 0), F.lit("")) if known else F.lit(None).cast("string")
 
 
 def _turned(patterns: list[str]) -> list[str]:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlframe.functions.text import trie_pattern
+
 _SCHEMES = r"(?i)^(https?|ftp|file|jar):"
 _IP = r"^\d{1,3}(\.\d{1,3}){3}$"
 
@@ -104,30 +106,32 @@ def host_segments(url: Column | str) -> Column:
     return F.when(h.rlike(_IP), F.array(h)).otherwise(F.split(h, r"\."))
 
 
-def _suffix_at(labels: Column, suffixes: Iterable[str]) -> Column:
-    """Smallest index from which the labels make up a known suffix; null if none."""
-    known = F.array(*[F.lit(s) for s in sorted(suffixes)])
-    places = F.sequence(F.lit(0), F.size(labels) - 1)
-    fits = F.filter(places, lambda i: F.array_contains(known, F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
-    return F.try_element_at(fits, F.lit(1))
+def _turned_suffixes(suffixes: Iterable[str]) -> str:
+    """Pattern of the longest known suffix at the begin of a host that is read backwards."""
+    return f"^(?:{trie_pattern([s[::-1] for s in suffixes], True)})"
 
 
 def domain_suffix(url: Column | str, suffixes: Iterable[str]) -> Column:
-    """The longest known suffix of the host; null for IP addresses or where none is known."""
-    h = F.rtrim(host(url), F.lit("."))
-    labels = F.split(h, r"\.")
-    at = _suffix_at(labels, suffixes)
-    return F.when(~h.rlike(_IP), F.array_join(F.slice(labels, at + 1, F.size(labels)), "."))
+    """The longest known suffix of the host; null for IP addresses or where none is known.
+
+    The suffixes are one pattern in the shape of their tree, so their number hardly counts. For their records see
+    :func:`crawlframe.sources.suffixes.with_suffix`.
+    """
+    h, known = F.rtrim(host(url), F.lit(".")), [s for s in suffixes if s]
+    if not known:
+        return F.lit(None).cast("string")
+    found = F.regexp_extract(F.reverse(h), rf"{_turned_suffixes(known)}(?=\.|\z)", 0)
+    return F.when(~h.rlike(_IP) & (found != ""), F.reverse(found))
 
 
 def domain_name(url: Column | str, suffixes: Iterable[str]) -> Column:
     """Known suffix with the label before it; the last label where no suffix is known; an IP address as it is."""
-    h = F.rtrim(host(url), F.lit("."))
-    labels = F.split(h, r"\.")
-    # the walk goes from the left, and stops at the first remainder that is known
-    at = _suffix_at(F.slice(labels, 2, F.size(labels)), suffixes)
-    named = F.array_join(F.slice(labels, at + 1, F.size(labels)), ".")
-    return F.when(h.rlike(_IP), h).when((F.size(labels) > 1) & at.isNotNull(), named).otherwise(F.element_at(labels, -1))
+    h, known = F.rtrim(host(url), F.lit(".")), [s for s in suffixes if s]
+    last = F.substring_index(h, ".", -1)
+    if known:
+        found = F.regexp_extract(F.reverse(h), rf"{_turned_suffixes(known)}\.[^.]*(?=\.|\z)", 0)
+        last = F.when(found != "", F.reverse(found)).otherwise(last)
+    return F.when(h.rlike(_IP), h).otherwise(last)
 
 
 def same_domain(a: Column | str, b: Column | str, suffixes: Iterable[str]) -> Column:

@@ -200,3 +200,19 @@ def test_canonical_urls_by_one_look(spark):
     got = rows.collect()
     assert all(r.built == r.u for r in got if r.plain) and all(r.normal == r.built for r in got if r.u) and sum(r.plain for r in got) > 300
     assert {r.u for r in got if r.plain} >= {"http://a.com/x", "https://a.com"}
+
+
+def test_domains_against_plain_search(spark):
+    rng = random.Random(7)
+    known = ["com", "uk", "co.uk", "a.co.uk", "b", "c.b", *[f"x{i}.y{i % 40}" for i in range(3000)]]
+    hosts = [".".join(rng.choice(["com", "uk", "co", "a", "b", "c", "x7", "y7", "zuk"]) for _ in range(rng.randint(1, 5))) + rng.choice(["", "."]) for _ in range(800)] + ["10.0.0.1", "com", "uk"]
+    got = spark.createDataFrame([(f"http://{h}/",) for h in hosts], "u string").select(url.domain_suffix("u", known), url.domain_name("u", known), url.domain_name("u", [])).collect()
+    for h, (suffix, name, last) in zip(hosts, got):
+        labels = h.rstrip(".").split(".")
+        fits = [i for i in range(len(labels)) if ".".join(labels[i:]) in set(known)]
+        inner = [i for i in fits if i > 0]
+        if h == "10.0.0.1":
+            assert (suffix, name, last) == (None, h, h)
+            continue
+        assert suffix == (".".join(labels[fits[0] :]) if fits else None) and last == labels[-1], h
+        assert name == (".".join(labels[inner[0] - 1 :]) if inner else labels[-1]), h
