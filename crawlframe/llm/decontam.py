@@ -24,6 +24,8 @@ WINDOW = 10
 SHARD = 2 << 20
 #: Text of the tests that is broadcast at once; larger tests are searched block by block.
 BLOCK_BYTES = 16 << 20
+#: Pairs of a hit and an item that owns its window which are chained at once, by whole documents (one may hold more).
+OWNERS = 4 << 20
 
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[0x00:0x30] = _IN_WORD[0x3A:0x61] = _IN_WORD[0x7B:0x80] = False
@@ -48,25 +50,26 @@ class Tests:
 
     @classmethod
     def of(cls, items: list[tuple[object, str]], window: int = WINDOW) -> Tests | None:
-        hashes, counts = word_hashes([(t or "").encode() for _, t in items])
+        texts = [(t or "").encode() for _, t in items]
+        parts = [word_hashes(texts[a:b]) for a, b in slices([len(t) + 1 for t in texts], SHARD)]
+        hashes, counts = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
         if not len(hashes):
             return None
         words = np.unique(hashes)
         numbers = np.searchsorted(words, hashes).astype(np.int32) + 1
-        found: dict[tuple, list[tuple[int, int]]] = {}
-        at = 0
-        for k, n in enumerate(counts.tolist()):
-            own = numbers[at : at + n].tolist()
-            at += n
-            for i in range(max(1, n - window + 1) if n else 0):
-                found.setdefault(tuple(own[i : i + window]), []).append((k, i))
-        rows = np.zeros((len(found), window), np.int32)
-        for i, key in enumerate(found):
-            rows[i, : len(key)] = key
-        pairs = [p for ps in found.values() for p in ps]
-        offsets = np.concatenate([[0], np.cumsum([len(ps) for ps in found.values()])])
+        windows = np.where(counts > 0, np.maximum(1, counts - window + 1), 0)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), windows)
+        place = (np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+        begin, sizes = (np.cumsum(counts) - counts)[item] + place, np.minimum(counts[item], window)
+        padded = np.concatenate([numbers, np.zeros(window, np.int32)])
+        rows = np.stack([np.where(sizes > j, padded[begin + j], 0).astype(np.int32) for j in range(window)], axis=1)
+        order = np.lexsort(rows.T[::-1])
+        rows = rows[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1)
+        offsets, rows = np.append(np.flatnonzero(new), len(rows)), rows[new]
         names = [None if name is None else str(name) for name, _ in items]
-        return cls(words, rows, (rows > 0).sum(1), np.array([p[0] for p in pairs]), offsets, np.array([p[1] for p in pairs]), names)
+        return cls(words, rows, (rows > 0).sum(1), item[order], offsets, place[order], names)
 
 
 def suffix_array(numbers: np.ndarray, reach: np.ndarray, least: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +127,27 @@ def match(texts: list[bytes], tests: Tests) -> tuple[np.ndarray, list[tuple[int,
     np.add.at(cover, position, 1)
     np.add.at(cover, position + size, -1)
     hit = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+    doc = np.searchsorted(ends, position, side="right")
+    order = np.argsort(doc, kind="stable")
+    doc, window, position = doc[order], window[order], position[order]
+    owned = np.bincount(doc, (tests.offsets[window + 1] - tests.offsets[window]).astype(float), len(counts)).astype(np.int64)
+    hit_doc = np.searchsorted(ends, hit, side="right")
+    out = []
+    for first, past in slices(owned.tolist(), OWNERS):
+        mine = slice(*np.searchsorted(doc, [first, past]))
+        for k, items, longest in _longest(tests, doc[mine], window[mine], position[mine]):
+            out.append((k, hit[slice(*np.searchsorted(hit_doc, [k, k + 1]))] - (ends[k] - counts[k]), items, longest))
+    return counts, out
+
+
+def _longest(tests: Tests, doc: np.ndarray, window: np.ndarray, position: np.ndarray):
+    """(document, items, words of its longest match with one item) for each document of the hits, of windows at positions."""
+    if not len(doc):
+        return
     owners = tests.offsets[window + 1] - tests.offsets[window]
     pick = np.arange(owners.sum()) - np.repeat(np.cumsum(owners) - owners - tests.offsets[window], owners)
     item, diagonal = tests.owners[pick], np.repeat(position, owners) - tests.places[pick]
-    position, size = np.repeat(position, owners), np.repeat(size, owners)
-    doc = np.searchsorted(ends, position, side="right")
+    doc, position, size = (np.repeat(x, owners) for x in (doc, position, tests.sizes[window]))
     order = np.lexsort((position, diagonal, item, doc))
     doc, item, diagonal, position, size = (x[order] for x in (doc, item, diagonal, position, size))
     new = np.ones(len(doc), bool)
@@ -136,13 +155,9 @@ def match(texts: list[bytes], tests: Tests) -> tuple[np.ndarray, list[tuple[int,
     starts = np.flatnonzero(new)
     lasts = np.append(starts[1:], len(doc)) - 1
     lengths = position[lasts] + size[lasts] - position[starts]
-    out = []
-    hit_doc = np.searchsorted(ends, hit, side="right")
-    for k in np.unique(hit_doc):
+    for k in np.unique(doc):
         mine = slice(*np.searchsorted(doc, [k, k + 1]))
-        runs = lengths[doc[starts] == k]
-        out.append((int(k), hit[hit_doc == k] - (ends[k] - counts[k]), np.unique(item[mine]).tolist(), int(runs.max())))
-    return counts, out
+        yield int(k), np.unique(item[mine]).tolist(), int(lengths[slice(*np.searchsorted(doc[starts], [k, k + 1]))].max())
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):

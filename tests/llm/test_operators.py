@@ -293,6 +293,37 @@ def test_token_files_random_access(spark, docs, tmp_path):
         assert sorted(((str(r.doc_id), r.i, r.token) for r in got.collect()), key=repr) == sorted(expected, key=repr)
 
 
+def test_decontamination_windows(monkeypatch):
+    """Hits, items and longest matches against a search of every place, with the pairs that are chained at once bounded or not."""
+    import random
+
+    rng = random.Random(1)
+    for _ in range(40):
+        monkeypatch.setattr(decontam, "OWNERS", rng.choice([1, 50, 1 << 22]))
+        monkeypatch.setattr(decontam, "SHARD", rng.choice([20, 1 << 20]))
+        some = [f"w{i}" for i in range(rng.choice([2, 4, 30]))]
+        pick = lambda n: [rng.choice(some) for _ in range(n)]
+        items = [(i, " ".join(pick(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for i in range(rng.randint(1, 8))]
+        items += [items[0], (99, None)]
+        texts = [" ".join(pick(rng.randint(0, 30)) + (rng.choice(items)[1] or "").split() + pick(5)) for _ in range(6)] + [""]
+        tests = decontam.Tests.of(items)
+        if tests is None:
+            assert not any(t for _, t in items)
+            continue
+        got = {k: (hits.tolist(), own, size) for k, hits, own, size in decontam.match([t.encode() for t in texts], tests)[1]}
+        for k, text in enumerate(texts):
+            w, hit, own, size = text.split(), set(), set(), 0
+            for n, (_, item) in enumerate(items):
+                v = (item or "").split()
+                least = min(len(v), 10)
+                for i, j in ((i, j) for i in range(len(w) - least + 1) for j in range(len(v) - least + 1) if v and w[i : i + least] == v[j : j + least]):
+                    reach = least
+                    while w[i + reach : i + reach + 1] == v[j + reach : j + reach + 1] != []:
+                        reach += 1
+                    hit, own, size = hit | set(range(i, i + least)), own | {n}, max(size, reach)
+            assert got.get(k, ([], [], 0)) == (sorted(hit), sorted(own), size)
+
+
 def test_decontamination_edges(spark, docs, no_docs):
     tests = spark.createDataFrame([("t1", "A b", 1), ("t2", None, 1), ("t3", "", 1), ("t1", "A b", 2)], "item_id string, text string, rank long")
     got = {r.doc_id: r for r in decontam.digests(docs, tests).collect()}
