@@ -9,6 +9,7 @@ once, so a text costs one table look-up for each n-gram.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -195,8 +196,8 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, settings: Settings = Settings()) -> tuple[list[str], list[str]]:
-    """The training sample: labelled rows with a letter, outside the held-out third, the same for any order of rows.
+def drawn(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(text, lang, _nth) of the training sample: labelled rows with a letter, outside the held-out third, the same for any order of rows.
 
     The number of rows of each language, of which there are as many as the model has columns, gives a limit of the hash below which about
     twice as many lie as are taken, so tasks hand on few rows however many there are. Of equal rows each one counts.
@@ -208,13 +209,27 @@ def sample(docs: DataFrame, settings: Settings = Settings()) -> tuple[list[str],
         limits = F.when(F.col("lang") == lang, F.lit(int(2**64 * share) - 2**63)).otherwise(limits)
     rows = rows.withColumn("_h", F.xxhash64(F.lit(settings.seed), "doc_id", "lang", "text")).filter(F.coalesce(F.col("_h") < limits, F.lit(True)) & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy("_h", "doc_id", "text")
-    got = rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= settings.rows_per_lang)
-    pairs = [(r.text, r.lang) for r in got.orderBy("lang", "_nth").select("text", "lang").toLocalIterator()]
+    return rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= settings.rows_per_lang).select("text", "lang", "_nth")
+
+
+def sample(docs: DataFrame, settings: Settings = Settings()) -> tuple[list[str], list[str]]:
+    """Texts and labels of :func:`drawn`, by label and hash."""
+    pairs = [(r.text, r.lang) for r in drawn(docs, settings).orderBy("lang", "_nth").toLocalIterator()]
     return [t for t, _ in pairs], [x for _, x in pairs]
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
-    return train(*sample(docs, settings), settings)
+    """The model of :func:`train` on :func:`sample`, trained in one task; only the model, and no text, comes to the driver."""
+    def run(batches):
+        texts, langs = [], []
+        for pdf in batches:
+            texts += pdf["text"].tolist()
+            langs += pdf["lang"].tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(train(texts, langs, settings))]})
+
+    rows = drawn(docs, settings).repartition(1).sortWithinPartitions("lang", "_nth").select("text", "lang")
+    got = rows.mapInPandas(run, "model binary").first()
+    return pickle.loads(got.model) if got else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

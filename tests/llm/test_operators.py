@@ -233,6 +233,16 @@ def test_language_rejection(spark):
     assert langid.keep(docs.filter("text is not null")).count() >= 0.998 * len(got)
 
 
+def test_language_trained_in_task(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    own = langid.train(*langid.sample(docs))
+    monkeypatch.setattr(langid, "sample", lambda *_: pytest.fail("the sample came to the driver"))
+    model = langid.fit(docs)
+    assert model.langs == own.langs and np.array_equal(model.table, own.table)
+    assert (model.temperature, model.threshold, model.support) == (own.temperature, own.threshold, own.support)
+    assert langid.fit(docs.filter("false")) is None
+
+
 def test_language_edges(docs, no_docs):
     got = langid.identify(docs).collect()
     assert len(got) == len(ROWS) and all(r.lang_pred == "und" for r in got if r.doc_id in (1, 2, 7))
