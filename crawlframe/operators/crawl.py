@@ -16,7 +16,10 @@ from crawlframe import schema as S
 from crawlframe.config import DAY_MS, CrawlConfig
 from crawlframe.operators import fetch as fetching
 from crawlframe.operators import generate, inject, parse, update
-from crawlframe.sources.store import Segments, StateStore
+from crawlframe.sources.store import SEGMENT, Segments, StateStore
+
+#: A file of a segment's part is for so many of its urls.
+FILE_URLS = 1000
 
 
 class Crawl:
@@ -27,9 +30,9 @@ class Crawl:
         self.store = StateStore(spark, f"{root}/crawldb", S.CRAWL_DATUM)
         self.segments = Segments(spark, f"{root}/segments")
 
-    def _conform(self, df: DataFrame) -> DataFrame:
+    def _conform(self, df: DataFrame, *keep: str) -> DataFrame:
         have = set(df.columns)
-        return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.CRAWL_DATUM.fields])
+        return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.CRAWL_DATUM.fields], *keep)
 
     def inject(self, lines: DataFrame, force: bool = False) -> None:
         with self.store.lock(force):
@@ -48,23 +51,28 @@ class Crawl:
                 self.store.install(generate.write_back(state, self.segments.inputs("crawl_generate", made, chosen.schema)[0], self.config))
         return made
 
-    def fetch(self, segment: str, fetcher: Callable | None = None, pages: DataFrame | None = None) -> None:
-        """Fetch a segment over a fetcher, or from a table of pages."""
-        rows = self.segments.read(segment, "crawl_generate")
+    def fetch(self, segments: str | list[str], fetcher: Callable | None = None, pages: DataFrame | None = None) -> None:
+        """Fetch segments over a fetcher, or from a table of pages, which is read once for all of them."""
+        names = [segments] if isinstance(segments, str) else segments
+        rows = self.segments.gather("crawl_generate", names)
         got = fetching.fetch(rows, fetcher, self.config) if pages is None else fetching.fetch_from(rows, pages)
-        got = self.segments.write(got, segment, ".fetched")
-        self.segments.write(self._conform(fetching.status_rows(got, self.config)), segment, "crawl_fetch")
-        self.segments.write(fetching.contents(got, segment, self.config), segment, "content")
-        self.segments.files.delete(self.segments.path(segment, ".fetched"))
-        self.segments.mark(segment, "fetched")
-
-    def parse(self, segment: str) -> None:
-        """Parse a segment; earlier results of it are replaced."""
-        records = self.segments.write(parse.parse(self.segments.read(segment, "content"), self.parsers, self.config.default_charset), segment, ".parsed")
-        self.segments.write(self._conform(parse.linked_rows(parse.outlinks(records))), segment, "crawl_parse")
-        self.segments.write(parse.app_info(records), segment, "app_info")
-        self.segments.files.delete(self.segments.path(segment, ".parsed"))
-        self.segments.mark(segment, "parsed")
+        with self.segments.draft(got) as got:
+            self._spread(self._conform(fetching.status_rows(got, self.config), SEGMENT), names, "crawl_fetch")
+            self._spread(fetching.contents(got, F.col(SEGMENT), self.config, (SEGMENT,)), names, "content")
+        for name in names:
+            self.segments.mark(name, "fetched")
+
+    def parse(self, segments: str | list[str]) -> None:
+        """Parse segments; earlier results of them are replaced."""
+        names, keep = [segments] if isinstance(segments, str) else segments, (SEGMENT,)
+        with self.segments.draft(parse.parse(self.segments.gather("content", names, S.CONTENT), self.parsers, self.config.default_charset, keep)) as records:
+            self._spread(self._conform(parse.linked_rows(parse.outlinks(records, keep), keep=keep), SEGMENT), names, "crawl_parse")
+            self._spread(parse.app_info(records, keep), names, "app_info")
+        for name in names:
+            self.segments.mark(name, "parsed")
+
+    def _spread(self, df: DataFrame, names: list[str], part: str) -> None:
+        self.segments.spread(df, names, part, -(-self.config.urls_per_segment // FILE_URLS))
 
     def update(self, segments: list[str], force: bool = False) -> list[str]:
         """Merge segments into the state; returns those that had no parsed links."""
@@ -77,14 +85,18 @@ class Crawl:
         return without
 
     def run(self, fetcher: Callable | None = None, pages: DataFrame | None = None, most_rounds: int | None = None) -> int:
-        """Rounds until nothing is due. The clock goes on by the lock's length each round, so failed urls come again."""
+        """Rounds until nothing is due. The clock goes on by the lock's length each round, so failed urls come again.
+
+        The segments of a round share their jobs, so a round has as many of them however long the state is; over a fetcher a segment is
+        fetched at a time, so that what it brought stays if a later one fails.
+        """
         for n in count():
             made = self.generate() if n != most_rounds else []
             if not made:
                 return n
-            for segment in made:
-                self.fetch(segment, fetcher, pages)
-                self.parse(segment)
+            for names in [made] if pages is not None else [[name] for name in made]:
+                self.fetch(names, fetcher, pages)
+            self.parse(made)
             self.update(made)
             self.config = replace(self.config, now_ms=self.config.now_ms + self.config.lock_days * DAY_MS)
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field, replace
 from email.utils import formatdate
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe import schema as S
@@ -287,13 +287,13 @@ def status_rows(fetched: DataFrame, config: CrawlConfig = CrawlConfig()) -> Data
     return got.drop(*extra)
 
 
-def contents(fetched: DataFrame, segment: str, config: CrawlConfig = CrawlConfig()) -> DataFrame:
-    """Content rows of the pages that came, with the segment, the fetch status and the processing directives."""
+def contents(fetched: DataFrame, segment: str | Column, config: CrawlConfig = CrawlConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Content rows of the pages that came, with the segment, the fetch status and the processing directives; columns that ``keep`` names come along."""
     got = fetched.filter(http_to_protocol(F.col("code")) == 1)
     marks = F.create_map(F.lit(S.SEGMENT_KEY), F.array(F.lit(segment)), F.lit(S.FETCH_STATUS_KEY), F.array(F.lit(str(S.FETCH_SUCCESS))))
     meta = F.map_zip_with(F.coalesce("headers", F.expr("cast(map() as map<string,array<string>>)")), marks, lambda k, a, b: F.coalesce(b, a))
     extend = put_all(F.expr("cast(map() as map<string,string>)"), F.col("extend")) if "extend" in fetched.columns else F.expr("cast(map() as map<string,string>)")
-    return got.select("url", F.col("body").alias("content"), extend.alias("extend"), meta.alias("meta_data"))
+    return got.select("url", F.col("body").alias("content"), extend.alias("extend"), meta.alias("meta_data"), *keep)
 
 
 def counters(fetched: DataFrame) -> DataFrame:

@@ -38,6 +38,8 @@ PARSERS: dict[str, Parser] = {"links": page_links, "article": article}
 
 _RECORD = "url string, kind string, link_url string, anchor string, fetch_interval int, categories string, app_name string, clear string, introduction string, extend map<string,string>, message string"
 _FIELDS = [f.split()[0] for f in _RECORD.split(", ")]
+#: Records of so many pages are handed on at once.
+_PAGES = 500
 
 
 def decoded(content: DataFrame, default: str = "utf-8") -> DataFrame:
@@ -50,25 +52,25 @@ def decoded(content: DataFrame, default: str = "utf-8") -> DataFrame:
     return content.withColumn("html", decode(F.col("content"), guess(header, rough, default)))
 
 
-def parse(content: DataFrame, parsers: dict[str, Parser] | None = None, default_charset: str = "utf-8") -> DataFrame:
+def parse(content: DataFrame, parsers: dict[str, Parser] | None = None, default_charset: str = "utf-8", keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed records of each page, by the parser that ``extend['parse_class']`` names.
 
     A page without a known parser, or whose parser fails, gives one record of kind "error"; the others go on.
-    Links inherit the page's ``extend``. Pages are decoded and parsed once.
+    Links inherit the page's ``extend``. Pages are decoded and parsed once. String columns that ``keep`` names come along.
     """
     known = dict(PARSERS if parsers is None else parsers)
 
     def run(batches):
         import pyarrow as pa
 
-        text = ("url", "kind", "link_url", "anchor", "categories", "app_name", "clear", "introduction", "message")
+        text = ("url", "kind", "link_url", "anchor", "categories", "app_name", "clear", "introduction", "message", *keep)
         kinds = {"fetch_interval": pa.int32(), "extend": pa.map_(pa.string(), pa.string())} | dict.fromkeys(text, pa.string())
-        schema = pa.schema([(f, kinds[f]) for f in _FIELDS])
-        for batch in batches:
+        schema = pa.schema([(f, kinds[f]) for f in (*_FIELDS, *keep)])
+        for batch in (b.slice(k, _PAGES) for b in batches for k in range(0, b.num_rows, _PAGES)):
             out = []
-            for url, html, extend in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "extend"))):
+            for url, html, extend, *kept in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "extend", *keep))):
                 name = dict(extend or ()).get(S.PARSE_KEY)
-                base = {"url": url, "extend": extend or []}
+                base = {"url": url, "extend": extend or [], **dict(zip(keep, kept))}
                 if name not in known:
                     out.append(base | {"kind": ERROR, "message": f"no parser named {name}"})
                     continue
@@ -82,16 +84,16 @@ def parse(content: DataFrame, parsers: dict[str, Parser] | None = None, default_
                     out.append(base | {"kind": ERROR, "message": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    rows = decoded(content, default_charset).select("url", "html", "extend")
-    return rows.mapInArrow(run, _RECORD)
+    rows = decoded(content, default_charset).select("url", "html", "extend", *keep)
+    return rows.mapInArrow(run, ", ".join([_RECORD, *(f"`{c}` string" for c in keep)]))
 
 
-def outlinks(records: DataFrame) -> DataFrame:
+def outlinks(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(page, url, anchor, fetch_interval, extend) of link records."""
-    return records.filter(F.col("kind") == LINK).select(F.col("url").alias("page"), F.col("link_url").alias("url"), "anchor", "fetch_interval", "extend")
+    return records.filter(F.col("kind") == LINK).select(F.col("url").alias("page"), F.col("link_url").alias("url"), "anchor", "fetch_interval", "extend", *keep)
 
 
-def linked_rows(links_: DataFrame, seq: str | None = None) -> DataFrame:
+def linked_rows(links_: DataFrame, seq: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """State rows (status linked) keyed by the link's target.
 
     ``seq`` names the column that breaks ties; without it a hash of page and target does.
@@ -109,11 +111,12 @@ def linked_rows(links_: DataFrame, seq: str | None = None) -> DataFrame:
         "extend",
         F.expr("cast(map() as map<string,string>)").alias("meta_data"),
         order.cast("long").alias("seq"),
+        *keep,
     )
 
 
-def app_info(records: DataFrame) -> DataFrame:
-    return records.filter(F.col("kind") == APP).select("url", "categories", "app_name", "clear", "introduction")
+def app_info(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return records.filter(F.col("kind") == APP).select("url", "categories", "app_name", "clear", "introduction", *keep)
 
 
 def errors(records: DataFrame) -> DataFrame:

@@ -51,6 +51,10 @@ class Files:
         if not fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(target)):
             raise OSError(f"{source} can't be renamed to {target}")
 
+    def copy(self, source: str, target: str) -> None:
+        fs, p = self.at(source)
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, fs, self.jvm.org.apache.hadoop.fs.Path(target), False, self.conf)
+
     def create(self, path: str, text: str, overwrite: bool = True) -> None:
         fs, p = self.at(path)
         out = fs.create(p, overwrite)
@@ -175,6 +179,8 @@ class StateStore:
 
 
 PARTS = ("crawl_generate", "crawl_fetch", "content", "crawl_parse", "app_info")
+#: Column that names the segment of a row.
+SEGMENT = "_segment"
 
 
 class Segments:
@@ -221,6 +227,39 @@ class Segments:
         self.files.delete(batch)
         return made
 
+    def gather(self, part: str, segments: list[str], schema: T.StructType | None = None) -> DataFrame:
+        """A part of segments by one scan, with the name of each row's segment; the schema is that of the first one if none is given."""
+        rows = self.spark.read.schema(schema or self.read(segments[0], part).schema).parquet(*[self.path(s, part) for s in segments])
+        return rows.withColumn(SEGMENT, F.regexp_extract("_metadata.file_path", rf"([^/]+)/{re.escape(part)}/[^/]*$", 1))
+
+    @contextmanager
+    def draft(self, df: DataFrame) -> Iterator[DataFrame]:
+        """``df`` as written once, for the length of a block."""
+        path = f"{self.root}/.draft-{uuid.uuid4().hex[:12]}"
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            self.files.delete(path)
+
+    def spread(self, df: DataFrame, segments: list[str], part: str, files: int = 1) -> None:
+        """Write a part of segments by one job, of rows with the name of their segment, in so many files each at most.
+
+        What a segment had of the part goes. One without rows gets an empty part, a copy of one that is written for all.
+        """
+        batch = f"{self.root}/.new-{uuid.uuid4().hex[:12]}"
+        df.repartition(SEGMENT, F.pmod(F.xxhash64("url"), F.lit(files))).write.option("compression", "zstd").partitionBy(SEGMENT).parquet(f"{batch}/rows")
+        there = set(self.files.children(f"{batch}/rows", True))
+        if any(f"{SEGMENT}={s}" not in there for s in segments):
+            self.spark.createDataFrame([], df.drop(SEGMENT).schema).write.option("compression", "zstd").parquet(f"{batch}/none")
+        for s in segments:
+            self.files.delete(self.path(s, part))
+            if f"{SEGMENT}={s}" in there:
+                self.files.rename(f"{batch}/rows/{SEGMENT}={s}", self.path(s, part))
+            else:
+                self.files.copy(f"{batch}/none", self.path(s, part))
+        self.files.delete(batch)
+
     def inputs(self, part: str, segments: list[str] | None = None, schema: T.StructType | None = None) -> tuple[DataFrame | None, list[str]]:
         """(a part of all segments, by one scan, segments without it); with a ``schema`` no file is opened to find it."""
         names = self.names() if segments is None else segments
