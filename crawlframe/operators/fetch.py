@@ -267,12 +267,16 @@ def fetch(rows: DataFrame, fetcher: Fetcher, config: CrawlConfig = CrawlConfig()
     return dealt.withColumn("_modified", modified.cast("long")).mapInArrow(run, f"{kinds}, {_GOT}")
 
 
-def fetch_from(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """The same columns as :func:`fetch`, from a table (url, content) of pages instead of the network; unknown urls are 404."""
-    known = pages.select("url", F.col("content").cast("binary").alias("body")).dropDuplicates(["url"])
+def fetch_from(rows: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
+    """The same columns as :func:`fetch`, from a table (key, content) of pages instead of the network; unknown keys are 404.
+
+    The key is the url, or a column of both tables that tells pages of a url apart. Of several pages of a key the one with the
+    smallest content counts; a page without content is found, and has a null body.
+    """
+    known = pages.groupBy(key).agg(F.min(F.col("content").cast("binary")).alias("body")).withColumn("_hit", F.lit(True))
     headers = F.create_map(F.lit("Content-Type"), F.array(F.lit("text/html; charset=utf-8")))
-    found = rows.join(known, "url", "left")
-    hit = F.col("body").isNotNull()
+    found = rows.join(known, key, "left")
+    hit = F.col("_hit").isNotNull()
     none = F.expr("cast(map() as map<string,array<string>>)")
     return found.select(*rows.columns, F.when(hit, 200).otherwise(404).alias("code"), "body", F.when(hit, headers).otherwise(none).alias("headers"), F.lit(None).cast("string").alias("message"))
 
