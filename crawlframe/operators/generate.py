@@ -71,9 +71,9 @@ def fetch_lists(generated: DataFrame) -> DataFrame:
     return generated.repartition("segment_no", "fetch_list").sortWithinPartitions("segment_no", "fetch_list", "url")
 
 
-def write_back(state: DataFrame, generated: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
-    """State with the lock's time on generated urls; each url keeps its one row."""
-    marks = generated.select("url").distinct().withColumn("_locked", F.lit(True))
-    joined = state.join(marks, "url", "left")
+def write_back(state: DataFrame, generated: DataFrame, config: CrawlConfig = CrawlConfig(), key: str = "url") -> DataFrame:
+    """State with the lock's time on generated rows, told by the url or another key; each keeps its one row."""
+    marks = generated.select(key).distinct().withColumn("_locked", F.lit(True))
+    joined = state.join(marks, key, "left")
     lock = F.create_map(F.lit(S.LOCK_KEY), F.lit(str(config.now_ms)))
     return joined.withColumn("meta_data", F.when(F.col("_locked"), put_all("meta_data", lock)).otherwise(F.col("meta_data"))).select(*state.columns)
