@@ -44,7 +44,8 @@ def merge(existing: DataFrame, injected: DataFrame) -> DataFrame:
     """State rows after an injection: an existing row wins whole, else the injected one becomes unfetched; of several, that with the largest seq,
     and of those one that names a parser, then that whose fields come last."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(injected.withColumn("_new", F.lit(1)), True)
-    first = Window.partitionBy("url").orderBy("_new", F.desc("seq"), F.desc_nulls_last(F.size("extend")), F.desc(F.to_json("extend")), F.desc(F.to_json("meta_data")))
+    ties = [F.desc(f(c)) for c in ("extend", "meta_data") if c in both.columns for f in (F.size, F.to_json)]
+    first = Window.partitionBy("url").orderBy("_new", F.desc("seq"), *ties)
     chosen = both.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
     status = F.when(F.col("_new") == 1, S.DB_UNFETCHED).otherwise(F.col("status"))
     return chosen.withColumn("status", status.cast("int")).drop("_new", "_rank")
